@@ -98,19 +98,19 @@ class Ftrl:
 
 
 def _train_part(epochs: int, start: tuple | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, model, rows = Words(), Ftrl(), []
+    def run(part: pa.Table) -> pa.Table:
+        words, model = Words(), Ftrl()
         if start is not None:
             model.z[start[0]], model.n[start[0]] = start[1], start[2]
-        for b in batches:
-            for t, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist(), strict=True):
-                rows.append((np.append(np.unique(features(t, words)), DIMS), float(y)))
+        part = part.sort_by("doc_id")
+        texts, ys = part.column("text").to_pylist(), part.column("y").to_pylist()
+        rows = [(np.append(np.unique(features(t, words)), DIMS), float(y)) for t, y in zip(texts, ys, strict=True)]
         order = np.random.default_rng(7)
         for _ in range(epochs):
             for i in order.permutation(len(rows)):
                 model.learn(*rows[i])
-        f = np.nonzero((np.abs(model.z) > 0.3 * model.l1) | (np.arange(DIMS + 1) == DIMS))[0]
-        yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()), pa.array(model.z[f]), pa.array(model.n[f])], ["f", "z", "n"])
+        f = np.nonzero((np.abs(model.z) > 0.6 * model.l1) | (np.arange(DIMS + 1) == DIMS))[0]
+        return pa.table({"f": pa.array(f, pa.int64()), "z": model.z[f], "n": model.n[f]})
 
     return run
 
@@ -132,10 +132,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: int
     rows = rows.where((F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0 < share) if share < 1 else F.lit(True))
     # At most about max_train ids of sixteen bytes: a proven bound for the broadcast.
     train = doc_rows(docs).join(F.broadcast(rows), "doc_id").select("doc_id", "text", "y")
-    train = train.repartition(PARTS, F.xxhash64("doc_id")).sortWithinPartitions("doc_id").select("text", "y")
+    train = train.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).alias("part"))
     state = None
     for _ in range(rounds):
-        parts = train.mapInArrow(_train_part(epochs, state), "f long, z double, n double")
+        parts = train.applyInArrow(_train_part(epochs, state), "f long, z double, n double")
         mean = parts.groupBy("f").agg((F.sum("z") / PARTS).alias("z"), (F.sum("n") / PARTS).alias("n")).toPandas()
         state = (mean["f"].to_numpy(), mean["z"].to_numpy(), mean["n"].to_numpy())
     model = Ftrl()
