@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup, quality_rules, syncmers, token_files, toxicity
+from . import near_dedup, quality_rules, suffix_dedup, syncmers, token_files, toxicity
 from .common import read
 
 
@@ -28,6 +28,10 @@ def op4_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.edited(read(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(read(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents"))
 
@@ -41,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op3_token_files": op3_token_files,
     "op4_syncmers": op4_syncmers,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_toxicity": op8_toxicity,
 }
