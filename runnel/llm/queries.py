@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup, quality_rules, suffix_dedup, syncmers, token_files, toxicity
+from . import near_dedup, packing, quality_rules, suffix_dedup, syncmers, token_files, toxicity
 from .common import read
 
 
@@ -20,6 +20,10 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(read(spark, sf_dir, "documents"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.token_lengths(read(spark, sf_dir, "documents"), tokenizer_path()))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(read(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -43,6 +47,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_packing": op2_packing,
     "op3_token_files": op3_token_files,
     "op4_syncmers": op4_syncmers,
     "op6_suffix_dedup": op6_suffix_dedup,
