@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import doc_rows, saved
-from .token_files import Encoder
+from .token_files import encoder
 
 BUCKETS, BUDGET, SALTS, EXACT = 8, 1 << 16, 512, 512
 
@@ -70,7 +70,7 @@ def token_lengths(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Per row: doc_id, n_tokens (ids of the whole text and the end id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(tokenizer)
+        enc = encoder(tokenizer)
         for b in batches:
             texts = b.column("text").to_pylist()
             n = [len(x) for i in range(0, len(texts), 500) for x in enc.encode(texts[i : i + 500])]

@@ -20,6 +20,7 @@ empty table gives no files and no rows.
 
 from __future__ import annotations
 
+import functools
 import re
 import struct
 import uuid
@@ -134,10 +135,10 @@ class Encoder:
 
     The pattern of a byte-level tokenizer always cuts before a space that
     stands between two other characters.  So a text is cut there, and each word
-    is encoded once a task and then looked up.
+    is encoded once and then looked up.
     """
 
-    LIMIT = 600_000
+    LIMIT = 1_000_000  # words kept; the first ones seen stay, as frequent words come early
     _ODD = re.compile(r"\s\s|^\s|\s$")
     _CUT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -168,9 +169,6 @@ class Encoder:
                 at = c
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.rest) > self.LIMIT or len(self.head) > self.LIMIT:
-            self.rest.clear()
-            self.head.clear()
         cut = [self._CUT.split(t) if self._ODD.search(t) else t.split(" ") for t in texts]
         new = {w for c in cut for w in c[1:]}.difference(self.rest)
         if new:
@@ -179,7 +177,17 @@ class Encoder:
         for w, e in zip(new, self.tok.encode_batch_fast(list(new), add_special_tokens=False), strict=True):
             self.head[w] = np.array(e.ids, self.kind).tobytes()
         get, end = self.rest.__getitem__, np.array([END], self.kind).tobytes()
-        return [np.frombuffer(b"".join([self.head[c[0]], *map(get, c[1:]), end]), self.kind).astype(np.uint32) for c in cut]
+        out = [np.frombuffer(b"".join([self.head[c[0]], *map(get, c[1:]), end]), self.kind).astype(np.uint32) for c in cut]
+        for held in (self.rest, self.head):
+            while len(held) > self.LIMIT:
+                held.popitem()  # the last learned
+        return out
+
+
+@functools.lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One for all tasks of a worker process, so that its words stay known."""
+    return Encoder(path)
 
 
 def _open(uri: str):
@@ -194,7 +202,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str) -> DataFrame:
         fs.create_dir(base, recursive=True)
         shard = TaskContext.get().partitionId()
         final, temp = f"{base}/shard-{shard:06d}.rpf", f"{base}/_{shard:06d}-{uuid.uuid4().hex}"
-        enc, w = Encoder(tokenizer), None
+        enc, w = encoder(tokenizer), None
         for b in batches:
             ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
             for i in range(0, len(ids), 500):
