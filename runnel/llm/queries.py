@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup, packing, quality_rules, suffix_dedup, syncmers, token_files, toxicity, wrappers
+from . import near_dedup, packing, quality_rules, suffix_dedup, syncmers, token_files, toxicity, weak_quality, wrappers
 from .common import read
 
 
@@ -32,6 +32,10 @@ def op4_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.edited(read(spark, sf_dir, "documents"))
 
 
+def op5_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_quality.classify(read(spark, sf_dir, "documents"))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(read(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_token_files": op3_token_files,
     "op4_syncmers": op4_syncmers,
+    "op5_weak_quality": op5_weak_quality,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_toxicity": op8_toxicity,
