@@ -173,7 +173,8 @@ def keep_good(docs: DataFrame) -> DataFrame:
     never shuffled.
     """
     t = saved(thresholds(metrics(docs))).withColumnsRenamed({"lang": "__tl", "source": "__ts"})
-    rows = with_metrics(docs).withColumns({"__tl": _group("lang"), "__ts": _group("source")})
+    # Explode of one element: no filter is pushed below it, where the metrics would be put in for each of their uses.
+    rows = with_metrics(docs).withColumn("__q", F.explode(F.array("__q"))).withColumns({"__tl": _group("lang"), "__ts": _group("source")})
     rows = joined(rows, t, ["__tl", "__ts"])
     q = F.col("__q")
     return rows.where(~q["base_failed"] & F.coalesce(_within(lambda k: q[k]), F.lit(True))).select(*[F.col(f"`{c}`") for c in docs.columns])
