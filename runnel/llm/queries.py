@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup, packing, quality_rules, suffix_dedup, syncmers, token_files, toxicity, weak_quality, wrappers
+from . import lattice, near_dedup, packing, quality_rules, suffix_dedup, syncmers, token_files, toxicity, weak_quality, wrappers
 from .common import read
 
 
@@ -49,6 +49,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.round_trip(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op10_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.extract(read(spark, sf_dir, "pages"))
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_toxicity": op8_toxicity,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_wrappers": op10_wrappers,
 }
 
