@@ -62,3 +62,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def text_words(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text, in order."""
     return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+
+def pieces(texts: list[str], rows: int = 2000, chars: int = 1 << 22):
+    """``texts`` in slices of at most ``rows`` texts and about ``chars`` characters (one text at least)."""
+    start = total = 0
+    for i, t in enumerate(texts):
+        if i > start and (i - start >= rows or total + len(t) > chars):
+            yield texts[start:i]
+            start, total = i, 0
+        total += len(t)
+    if start < len(texts):
+        yield texts[start:]

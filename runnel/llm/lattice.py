@@ -12,11 +12,11 @@ around line feeds.  Only the different words of the corpus are encoded:
    best path; its result is defined by the order of merges, so its fold takes,
    step by step, the edge with the best score (the leftmost of equal ones) that
    joins two neighbours of what is cut so far.
-   Both folds exist as higher-order ``aggregate``; by default the words of a BPE
-   model go through the same steps in arrays, about 27 times faster (``Lattice``).
-4. Texts look up the ``FREQUENT`` commonest words in a broadcast table of that
-   bounded size.  Every other word is joined by (row, word) to the encoded words
-   and put in its place.
+   Both folds are higher-order ``aggregate`` functions.
+4. Texts look up the ``FREQUENT`` commonest words of the corpus, encoded once by
+   the ``aggregate`` fold, in a broadcast table of that bounded size.  Each task
+   encodes the other words of its texts through the same lattice and fold in
+   arrays (``Lattice``); their joins to a table would move more than the texts.
 
 A word of more than ``LONG`` characters, such as a text without spaces, has no
 lattice; its ids come from the library in linear memory.
@@ -37,11 +37,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_rows, saved
+from .common import doc_rows, pieces, saved
 
 LONG, FREQUENT, UNKNOWN_COST = 60, 100_000, 10.0
 SPACE = "▁"
@@ -335,7 +334,8 @@ def _with_long(done: DataFrame, words: DataFrame, model: Model) -> DataFrame:
 
 def encode_words(words: DataFrame, model: Model, native: bool | None = None) -> DataFrame:
     """(word, n) to (word, n, ids).  ``native``: DataFrame functions make and fold the
-    lattice (unigram models always); else array operations do, on batches of words."""
+    lattice (unigram models always); else array operations do, on batches of words,
+    about 27 times faster."""
     kind, out = model.kind, "word string, n long, ids array<int>"
     short = words.where((F.length("word") <= LONG) & (F.length("word") > 0))
     if kind == "bpe" and not native:
@@ -353,11 +353,11 @@ def encode_words(words: DataFrame, model: Model, native: bool | None = None) ->
     return _with_long(done, words, model)
 
 
-def _common(encoded: DataFrame, limit: int) -> dict[str, bytes]:
+def common_words(words: DataFrame, limit: int) -> DataFrame:
     """At most ``limit`` of the commonest words that are not long: those with a rounded count at or above a cutoff."""
     unit = F.pow(F.lit(10), F.length(F.col("n").cast("string")) - 2).cast("long")
     level = F.when(F.col("n") < 100, F.col("n")).otherwise(F.col("n") - F.col("n") % unit)
-    rows = encoded.where(F.length("word") <= LONG).withColumn("level", level)
+    rows = words.where(F.length("word") <= LONG).withColumn("level", level)
     levels = rows.groupBy("level").agg(F.count("*").alias("c")).orderBy(F.desc("level")).collect()  # some hundred levels at most
     cutoff, total = None, 0
     for r in levels:
@@ -365,10 +365,7 @@ def _common(encoded: DataFrame, limit: int) -> dict[str, bytes]:
         if total > limit:
             break
         cutoff = r["level"]
-    if cutoff is None:
-        return {}
-    found = rows.where(F.col("level") >= cutoff).select("word", "ids").toArrow()
-    return {w: np.array(i, np.int32).tobytes() for w, i in zip(found.column("word").to_pylist(), found.column("ids").to_pylist(), strict=True)}
+    return rows.where(F.lit(False) if cutoff is None else F.col("level") >= cutoff).select("word", "n")
 
 
 def _lists(parts: list[bytes]) -> pa.Array:
@@ -377,50 +374,62 @@ def _lists(parts: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(parts), np.int32)))
 
 
+class Rest(dict):
+    """The ids of words outside the broadcast table, as bytes; forgets all when full."""
+
+    LIMIT = 500_000
+
+    def __init__(self, path: str) -> None:
+        import sentencepiece
+
+        self.net = Lattice(load(path))
+        self.library = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.skip = len(self.library.encode("\n"))
+
+    def learn(self, words: set[str]) -> None:
+        if len(self) > self.LIMIT:
+            self.clear()
+        new = [w for w in words if w not in self]
+        short = [w for w in new if len(w) <= LONG]
+        for i in range(0, len(short), 20_000):
+            for w, ids in zip(short[i : i + 20_000], self.net.encode(short[i : i + 20_000]), strict=True):
+                self[w] = np.array(ids, np.int32).tobytes()
+        for w in new:
+            if len(w) > LONG:
+                self[w] = np.array(self.library.encode("\n" + w)[self.skip :], np.int32).tobytes()
+
+
+@functools.lru_cache(maxsize=1)
+def _rest(path: str) -> Rest:
+    """One for all tasks of a worker process."""
+    return Rest(path)
+
+
 def encode(docs: DataFrame, path: str, frequent: int = FREQUENT) -> DataFrame:
     """Per row: doc_id, ids (array<int>) of the whole text."""
     spark: SparkSession = docs.sparkSession
     model = load(path)
     pattern = word_pattern(model)
-    encoded = saved(encode_words(corpus_words(docs, model), model))
-    table = spark.sparkContext.broadcast(_common(encoded, frequent))  # at most FREQUENT words of LONG characters
+    common = saved(encode_words(common_words(saved(corpus_words(docs, model)), frequent), model, native=True)).toArrow()
+    ids = [np.array(i, np.int32).tobytes() for i in common.column("ids").to_pylist()]
+    table = spark.sparkContext.broadcast(dict(zip(common.column("word").to_pylist(), ids, strict=True)))  # at most ``frequent`` words of LONG characters
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, at = table.value.get, TaskContext.get().partitionId() << 40
-        for b in batches:
-            ids, rare, keys = [], [], []
-            for t in b.column("text").to_pylist():
-                words = words_of(t, pattern)
-                parts = list(map(get, words))
-                mine: dict[str, int] = {}
-                if None in parts:
-                    parts = [p if p is not None else np.int32(-1 - mine.setdefault(w, len(mine))).tobytes() for p, w in zip(parts, words, strict=True)]
-                ids.append(b"".join(parts))
-                rare.append(list(mine))
-                keys.append(at)
-                at += 1
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), b.column("doc_id"), _lists(ids), pa.array(rare, pa.list_(pa.string()))], ["key", "doc_id", "ids", "rare"])
-
-    # Written once, so that the keys stay as they are whatever is run again.
-    rows = saved(doc_rows(docs).mapInArrow(run, "key long, doc_id long, ids array<int>, rare array<string>"))
-    whole = rows.where(F.size("rare") == 0).select("doc_id", "ids")
-    rest = rows.where(F.size("rare") > 0)
-    asked = rest.select("key", F.posexplode("rare").alias("at", "word"))
-    found = asked.join(encoded.select("word", F.col("ids").alias("own")), "word").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "own"))).alias("own"))  # the words of one text
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, rest = table.value, _rest(path)
         for b in batches:
-            out = []
-            for ids, own in zip(b.column("ids").to_pylist(), b.column("own").to_pylist(), strict=True):
-                words = [o["own"] for o in own]
-                new: list[int] = []
-                for i in ids:
-                    new.extend(words[-1 - i]) if i < 0 else new.append(i)
-                out.append(new)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "ids"])
-
-    filled = rest.join(found, "key").select("doc_id", "ids", "own").mapInArrow(fill, "doc_id long, ids array<int>")
-    return whole.union(filled)
+            texts = b.column("text").to_pylist()
+            out: list[bytes] = []
+            for part in pieces(texts):
+                words = [words_of(t, pattern) for t in part]
+                parts = [list(map(known.get, w)) for w in words]
+                odd = [k for k, p in enumerate(parts) if None in p]
+                rest.learn({w for k in odd for w, p in zip(words[k], parts[k], strict=True) if p is None})
+                for k in odd:
+                    parts[k] = [rest[w] if p is None else p for w, p in zip(words[k], parts[k], strict=True)]
+                out.extend(map(b"".join, parts))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), _lists(out)], ["doc_id", "ids"])
+
+    return doc_rows(docs).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode_ids(ids: list[int], texts: tuple[bytes, ...]) -> str:
