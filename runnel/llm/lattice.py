@@ -114,7 +114,7 @@ def corpus_words(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             for t in b.column("text").to_pylist():
                 seen.update(words_of(t, pattern))
-                if len(seen) > 300_000:
+                if len(seen) > 150_000:
                     yield rows()
         yield rows()
 
@@ -377,7 +377,7 @@ def _lists(parts: list[bytes]) -> pa.Array:
 class Rest(dict):
     """The ids of words outside the broadcast table, as bytes; forgets all when full."""
 
-    LIMIT = 500_000
+    LIMIT = 150_000
 
     def __init__(self, path: str) -> None:
         import sentencepiece
@@ -391,8 +391,8 @@ class Rest(dict):
             self.clear()
         new = [w for w in words if w not in self]
         short = [w for w in new if len(w) <= LONG]
-        for i in range(0, len(short), 20_000):
-            for w, ids in zip(short[i : i + 20_000], self.net.encode(short[i : i + 20_000]), strict=True):
+        for i in range(0, len(short), 4_000):
+            for w, ids in zip(short[i : i + 4_000], self.net.encode(short[i : i + 4_000]), strict=True):
                 self[w] = np.array(ids, np.int32).tobytes()
         for w in new:
             if len(w) > LONG:
@@ -419,7 +419,7 @@ def encode(docs: DataFrame, path: str, frequent: int = FREQUENT) -> DataFrame:
         for b in batches:
             texts = b.column("text").to_pylist()
             out: list[bytes] = []
-            for part in pieces(texts):
+            for part in pieces(texts, chars=1 << 19):
                 words = [words_of(t, pattern) for t in part]
                 parts = [list(map(known.get, w)) for w in words]
                 odd = [k for k, p in enumerate(parts) if None in p]
