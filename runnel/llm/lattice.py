@@ -443,7 +443,9 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [decode_ids(i, texts) for i in b.column("ids").to_pylist()]
+            ids = b.column("ids")
+            flat, offsets = ids.flatten().to_numpy(), np.asarray(ids.offsets) - ids.offsets[0].as_py()
+            out = [decode_ids(flat[x:y].tolist(), texts) for x, y in zip(offsets[:-1], offsets[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("ids"), pa.array(out, pa.string())], ["doc_id", "ids", "text"])
 
     return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
