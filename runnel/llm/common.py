@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,13 +65,15 @@ def text_words(text: Column) -> Column:
     return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def pieces(texts: list[str], rows: int = 2000, chars: int = 1 << 22):
-    """``texts`` in slices of at most ``rows`` texts and about ``chars`` characters (one text at least)."""
-    start = total = 0
-    for i, t in enumerate(texts):
-        if i > start and (i - start >= rows or total + len(t) > chars):
-            yield texts[start:i]
-            start, total = i, 0
-        total += len(t)
-    if start < len(texts):
-        yield texts[start:]
+def pieces(batches, column: str, rows: int = 2000, chars: int = 1 << 19):
+    """Arrow batches cut to at most ``rows`` rows and about ``chars`` characters of ``column`` (one row at least)."""
+    for b in batches:
+        start = total = 0
+        for i, n in enumerate(pc.binary_length(b.column(column)).to_pylist()):
+            n = n or 0
+            if i > start and (i - start >= rows or total + n > chars):
+                yield b.slice(start, i - start)
+                start, total = i, 0
+            total += n
+        if start < b.num_rows:
+            yield b.slice(start)

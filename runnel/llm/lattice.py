@@ -111,7 +111,7 @@ def corpus_words(docs: DataFrame, model: Model) -> DataFrame:
             seen.clear()
             return out
 
-        for b in batches:
+        for b in pieces(batches, "text"):
             for t in b.column("text").to_pylist():
                 seen.update(words_of(t, pattern))
                 if len(seen) > 150_000:
@@ -416,18 +416,14 @@ def encode(docs: DataFrame, path: str, frequent: int = FREQUENT) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rest = table.value, _rest(path)
-        for b in batches:
-            texts = b.column("text").to_pylist()
-            out: list[bytes] = []
-            for part in pieces(texts, chars=1 << 19):
-                words = [words_of(t, pattern) for t in part]
-                parts = [list(map(known.get, w)) for w in words]
-                odd = [k for k, p in enumerate(parts) if None in p]
-                rest.learn({w for k in odd for w, p in zip(words[k], parts[k], strict=True) if p is None})
-                for k in odd:
-                    parts[k] = [rest[w] if p is None else p for w, p in zip(words[k], parts[k], strict=True)]
-                out.extend(map(b"".join, parts))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), _lists(out)], ["doc_id", "ids"])
+        for b in pieces(batches, "text"):
+            words = [words_of(t, pattern) for t in b.column("text").to_pylist()]
+            parts = [list(map(known.get, w)) for w in words]
+            odd = [k for k, p in enumerate(parts) if None in p]
+            rest.learn({w for k in odd for w, p in zip(words[k], parts[k], strict=True) if p is None})
+            for k in odd:
+                parts[k] = [rest[w] if p is None else p for w, p in zip(words[k], parts[k], strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), _lists(list(map(b"".join, parts)))], ["doc_id", "ids"])
 
     return doc_rows(docs).mapInArrow(run, "doc_id long, ids array<int>")
 
