@@ -232,6 +232,7 @@ class Lattice:
         slots = np.zeros(1 << 20, bool)  # most substrings are no piece: a first sieve
         slots[h >> np.uint64(44)] = True
         self.slots = slots
+        self.ids = {p: i for p, i, _ in model.pieces}
 
     def _step(self, h: np.ndarray, c: np.ndarray) -> np.ndarray:
         x = (h ^ (c.astype(np.uint64) + np.uint64(1))) * self._P
@@ -284,13 +285,12 @@ class Lattice:
         return cuts, size
 
     def encode(self, words: list[str]) -> list[list[int]]:
-        pieces = {p: i for p, i, _ in self.model.pieces}
-        out = []
+        get, out = self.ids.get, []
         for w, c, n in zip(words, *map(np.ndarray.tolist, self.cuts(words)), strict=True):
             ids, a = [], 0
             for b in range(1, n + 1):
                 if c >> b & 1:
-                    i = pieces.get(w[a:b])
+                    i = get(w[a:b])
                     if i is not None:
                         ids.append(i)
                     elif self.model.bytes_:
