@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import doc_rows, saved
+from .common import doc_rows, pieces, saved
 from .token_files import encoder
 
 BUCKETS, BUDGET, SALTS, EXACT = 8, 1 << 16, 512, 512
@@ -71,9 +71,8 @@ def token_lengths(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        for b in batches:
-            texts = b.column("text").to_pylist()
-            n = [len(x) for i in range(0, len(texts), 500) for x in enc.encode(texts[i : i + 500])]
+        for b in pieces(batches, "text"):
+            n = [len(x) for x in enc.encode(b.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
 
     return doc_rows(docs).mapInArrow(run, "doc_id long, n_tokens long")

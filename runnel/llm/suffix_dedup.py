@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_rows, joined, saved
+from .common import doc_rows, joined, pieces, saved
 
 LEN, GRAM, SHALLOW, PIECE = 50, 16, 16, 1 << 23
 HOT, CHUNK = 20_000, 12_000
@@ -347,7 +347,7 @@ def digest(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, "text"):
             rows = []
             for d, t, r in zip(*[b.column(c).to_pylist() for c in ("doc_id", "text", "__r")], strict=True):
                 raw = t.encode()
@@ -367,7 +367,7 @@ def cut_texts(docs: DataFrame) -> DataFrame:
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, "text"):
             texts = b.column("text").to_pylist()
             left = [
                 t if not r else cut(t.encode(), [(x["begin"], x["end"]) for x in r])[0].decode("utf-8", "ignore")

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_rows, saved, shared_dir
+from .common import doc_rows, pieces, saved, shared_dir
 
 BLOCK, PERCENTILE, END = 4096, 95, 0
 MAGIC = b"RPF1"
@@ -138,7 +138,7 @@ class Encoder:
     is encoded once and then looked up.
     """
 
-    LIMIT = 1_000_000  # words kept; the first ones seen stay, as frequent words come early
+    LIMIT = 500_000  # words kept; the first ones seen stay, as frequent words come early
     _ODD = re.compile(r"\s\s|^\s|\s$")
     _CUT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -203,14 +203,12 @@ def write(docs: DataFrame, tokenizer: str, folder: str) -> DataFrame:
         shard = TaskContext.get().partitionId()
         final, temp = f"{base}/shard-{shard:06d}.rpf", f"{base}/_{shard:06d}-{uuid.uuid4().hex}"
         enc, w = encoder(tokenizer), None
-        for b in batches:
-            ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-            for i in range(0, len(ids), 500):
-                if w is None:
-                    out = fs.open_output_stream(temp)
-                    w = Writer(out)
-                for d, t in zip(ids[i : i + 500], enc.encode(texts[i : i + 500]), strict=True):
-                    w.add(d, t)
+        for b in pieces(batches, "text"):
+            if w is None:
+                out = fs.open_output_stream(temp)
+                w = Writer(out)
+            for d, t in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text").to_pylist()), strict=True):
+                w.add(d, t)
         if w is not None:
             w.close()
             out.close()

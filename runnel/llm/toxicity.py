@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_rows
+from .common import doc_rows, pieces
 
 DIMS = 1 << 20
 PARTS = 4
@@ -42,7 +42,7 @@ _Q = np.uint64(0xC2B2AE3D27D4EB4F)
 class Words(dict):
     """Word to its row in ``table`` (hashes of the word and of its prefixes); forgets all when full."""
 
-    LIMIT = 400_000
+    LIMIT = 150_000
 
     def __init__(self) -> None:
         super().__init__()
@@ -103,8 +103,8 @@ def _train_part(epochs: int, start: tuple | None):
         if start is not None:
             model.z[start[0]], model.n[start[0]] = start[1], start[2]
         part = part.sort_by("doc_id")
-        texts, ys = part.column("text").to_pylist(), part.column("y").to_pylist()
-        rows = [(np.append(np.unique(features(t, words)), DIMS), float(y)) for t, y in zip(texts, ys, strict=True)]
+        texts, ys = part.column("text"), part.column("y").to_pylist()
+        rows = [(np.append(np.unique(features(t.as_py(), words)), np.int32(DIMS)), float(y)) for t, y in zip(texts, ys, strict=True)]
         order = np.random.default_rng(7)
         for _ in range(epochs):
             for i in order.permutation(len(rows)):
@@ -167,7 +167,7 @@ def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = scorer(weights)
-        for b in batches:
+        for b in pieces(batches, "text"):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(f(b.column("text").to_pylist()))], ["doc_id", "score"])
 
     return doc_rows(docs).mapInArrow(run, "doc_id long, score double").select(
@@ -183,7 +183,7 @@ def keep_clean(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray]) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = scorer(weights)
-        for b in batches:
+        for b in pieces(batches, "text"):
             yield b.filter(pa.array(f(b.column(b.schema.names.index("text")).to_pylist()) < THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_rows, saved
+from .common import doc_rows, pieces, saved
 
 DIMS, PARTS = 1 << 14, 4
 #: Name, bad if below or above, good if within. A vote between the two is an abstention. Ratios are per word, line or letter.
@@ -45,7 +45,7 @@ _A = np.uint64(0x9E3779B97F4A7C15)
 class Shapes(dict):
     """Word to its row in ``table``: length, symbols, capitals, hash of its shape."""
 
-    LIMIT = 400_000
+    LIMIT = 150_000
 
     def __init__(self) -> None:
         super().__init__()
@@ -98,7 +98,7 @@ def describe(text: str, shapes: Shapes) -> tuple[str, np.ndarray, np.ndarray]:
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shapes = Shapes()
-    for b in batches:
+    for b in pieces(batches, "text"):
         rows = [describe(t, shapes) for t in b.column("text").to_pylist()]
         cols = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1].astype(np.int32) for r in rows], pa.list_(pa.int32())), pa.array([r[2].astype(np.float32) for r in rows], pa.list_(pa.float32()))]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], ["doc_id", "votes", "f", "x"])
