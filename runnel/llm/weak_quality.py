@@ -106,7 +106,7 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def posteriors(patterns: list[str], counts: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, dict]:
     """Chance of good per vote pattern, and each labeller's estimated accuracy."""
-    v = np.array([[int(c) for c in p] for p in patterns], np.int64).reshape(len(patterns), -1)
+    v = np.array([[int(c) for c in p] for p in patterns], np.int64).reshape(len(patterns), len(LABELLERS))
     good, bad = (v == 1).sum(1), (v == 0).sum(1)
     post = (good + 0.5) / (good + bad + 1.0)
     post = np.where(2 * bad >= good, np.minimum(post, 0.4), post)  # a start: good votes are the easier ones
