@@ -28,9 +28,9 @@ MIN_GROUP = 50
 METRICS = {
     "symbol_pm": ("high", 200),
     "dup_line_pm": ("high", 400),
-    "repeat_pm": ("high", 150),
+    "repeat_pm": ("high", 200),
     "upper_pm": ("high", 200),
-    "word_len_pc": ("both", 300),
+    "word_len_pc": ("both", 400),
     "distinct_pm": ("low", 250),
 }
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]

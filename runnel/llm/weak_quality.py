@@ -31,6 +31,8 @@ DIMS, PARTS = 1 << 14, 4
 LABELLERS = (
     ("words", (10, np.inf), (30, np.inf)),
     ("symbols", (-1, 0.15), (-1, 0.02)),
+    ("marked", (-1, 0.15), (-1, 0.02)),
+    ("marks", (-1, 0.04), (-1, 0.005)),
     ("repeats", (-1, 0.2), (-1, 0.05)),
     ("distinct", (0.35, 2), (0.6, 2)),
     ("upper", (-1, 0.2), (-1, 0.06)),
@@ -78,6 +80,8 @@ def describe(text: str, shapes: Shapes) -> tuple[str, np.ndarray, np.ndarray]:
     values = {
         "words": n,
         "symbols": rows[:, 1].sum() / max(1, n),
+        "marked": float((rows[:, 1] > 0).mean()) if n else 0.0,
+        "marks": rows[:, 1].sum() / chars,
         "repeats": 1 - len(np.unique(five)) / len(five) if len(five) else 0.0,
         "distinct": len(np.unique(ids)) / max(1, n),
         "upper": rows[:, 2].sum() / chars,
@@ -109,7 +113,7 @@ def posteriors(patterns: list[str], counts: np.ndarray, rounds: int = 60) -> tup
     v = np.array([[int(c) for c in p] for p in patterns], np.int64).reshape(len(patterns), len(LABELLERS))
     good, bad = (v == 1).sum(1), (v == 0).sum(1)
     post = (good + 0.5) / (good + bad + 1.0)
-    post = np.where(2 * bad >= good, np.minimum(post, 0.4), post)  # a start: good votes are the easier ones
+    post = np.where(bad >= 2, np.minimum(post, 0.1), post)  # a start: bad votes are rare, so two of them count for more than many good ones
     hot = np.stack([v == k for k in range(3)], 2).astype(float)
     rate = np.zeros((2, v.shape[1], 3))
     for _ in range(rounds):
@@ -142,7 +146,7 @@ def classify(docs: DataFrame, max_train: int = 12_000) -> DataFrame:
     """Per row: doc_id, votes, posterior (of the labellers), score (of the linear scorer), predicted."""
     spark = docs.sparkSession
     rows = saved(doc_rows(docs).mapInArrow(_described, "doc_id long, votes string, f array<int>, x array<float>"))
-    seen = rows.groupBy("votes").agg(F.count("*").alias("c")).orderBy("votes").collect()  # 3 ** 8 patterns at most
+    seen = rows.groupBy("votes").agg(F.count("*").alias("c")).orderBy("votes").collect()  # 3 ** 10 patterns at most
     post, _ = posteriors([r["votes"] for r in seen], np.array([r["c"] for r in seen], float))
     table = spark.createDataFrame([(r["votes"], float(p)) for r, p in zip(seen, post, strict=True)], "votes string, posterior double")
     rows = rows.join(F.broadcast(table), "votes", "left")
