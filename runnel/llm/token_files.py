@@ -138,8 +138,8 @@ class Encoder:
     is encoded once and then looked up.
     """
 
-    LIMIT = 500_000  # words kept; the first ones seen stay, as frequent words come early
-    _ODD = re.compile(r"\s\s|^\s|\s$")
+    LIMIT = 1_200_000  # words kept; the first ones seen stay, as frequent words come early
+    _OTHER = re.compile("[\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")  # white space but space and line feed
     _CUT = re.compile(r"(?<=\S) (?=\S)")
 
     def __init__(self, path: str) -> None:
@@ -168,9 +168,13 @@ class Encoder:
                 self.rest[w] = data[at:c]
                 at = c
 
+    def _plain(self, t: str) -> bool:
+        """True if every space stands between two characters that are no white space."""
+        return t[:1] != " " and t[-1:] != " " and not ("  " in t or "\n " in t or " \n" in t or self._OTHER.search(t))
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [self._CUT.split(t) if self._ODD.search(t) else t.split(" ") for t in texts]
-        new = {w for c in cut for w in c[1:]}.difference(self.rest)
+        cut = [t.split(" ") if self._plain(t) else self._CUT.split(t) for t in texts]
+        new = set().union(*[c[1:] for c in cut]).difference(self.rest)
         if new:
             self._learn(list(new))
         new = {c[0] for c in cut}.difference(self.head)
