@@ -30,6 +30,7 @@ U+2581, which the format itself reads as a space.
 from __future__ import annotations
 
 import functools
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -377,7 +378,7 @@ def _lists(parts: list[bytes]) -> pa.Array:
 class Rest(dict):
     """The ids of words outside the broadcast table, as bytes; forgets all when full."""
 
-    LIMIT = 150_000
+    LIMIT = 120_000
 
     def __init__(self, path: str) -> None:
         import sentencepiece
@@ -405,8 +406,8 @@ def _rest(path: str) -> Rest:
     return Rest(path)
 
 
-def encode(docs: DataFrame, path: str, frequent: int = FREQUENT) -> DataFrame:
-    """Per row: doc_id, ids (array<int>) of the whole text."""
+def encode(docs: DataFrame, path: str, frequent: int = FREQUENT, digest: bool = False) -> DataFrame:
+    """Per row: doc_id, ids (array<int>) of the whole text; with ``digest`` also decoded_sha256, of the text that they decode to."""
     spark: SparkSession = docs.sparkSession
     model = load(path)
     pattern = word_pattern(model)
@@ -416,6 +417,7 @@ def encode(docs: DataFrame, path: str, frequent: int = FREQUENT) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rest = table.value, _rest(path)
+        model = load(path)
         for b in pieces(batches, "text"):
             words = [words_of(t, pattern) for t in b.column("text").to_pylist()]
             parts = [list(map(known.get, w)) for w in words]
@@ -423,9 +425,15 @@ def encode(docs: DataFrame, path: str, frequent: int = FREQUENT) -> DataFrame:
             rest.learn({w for k in odd for w, p in zip(words[k], parts[k], strict=True) if p is None})
             for k in odd:
                 parts[k] = [rest[w] if p is None else p for w, p in zip(words[k], parts[k], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), _lists(list(map(b"".join, parts)))], ["doc_id", "ids"])
+            out = list(map(b"".join, parts))
+            columns, names = [b.column("doc_id"), _lists(out)], ["doc_id", "ids"]
+            if digest:
+                back = [decode_ids(np.frombuffer(x, np.int32).tolist(), model.texts) for x in out]
+                columns.append(pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back], pa.string()))
+                names.append("decoded_sha256")
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return doc_rows(docs).mapInArrow(run, "doc_id long, ids array<int>")
+    return doc_rows(docs).mapInArrow(run, "doc_id long, ids array<int>" + ", decoded_sha256 string" * digest)
 
 
 def decode_ids(ids: list[int], texts: tuple[bytes, ...]) -> str:
@@ -449,5 +457,5 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """Per row: doc_id, n_tokens, ids, decoded_sha256 (of the text that the ids decode to)."""
-    back = decode(encode(docs, path), path)
-    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.col("text"), 256).alias("decoded_sha256"))
+    rows = encode(docs, path, digest=True)
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_sha256")

@@ -1,5 +1,6 @@
 """Token files, packing, SentencePiece and pages."""
 
+import hashlib
 import itertools
 import random
 import zlib
@@ -82,6 +83,8 @@ def test_sentencepiece(spark, docs):
         assert len(out) == len(TEXTS) + 1
         for r in out:
             assert r.ids == sp.encode(TEXTS[r.doc_id] or "") and r.text == (TEXTS[r.doc_id] or "")
+    for r in lattice.round_trip(docs, path).collect():
+        assert r.n_tokens == len(r.ids) and r.decoded_sha256 == hashlib.sha256((TEXTS[r.doc_id] or "").encode()).hexdigest()
     assert lattice.round_trip(docs.where("false"), path).count() == 0
 
 
