@@ -378,7 +378,7 @@ def _lists(parts: list[bytes]) -> pa.Array:
 class Rest(dict):
     """The ids of words outside the broadcast table, as bytes; forgets all when full."""
 
-    LIMIT = 120_000
+    LIMIT = 500_000
 
     def __init__(self, path: str) -> None:
         import sentencepiece
