@@ -6,10 +6,16 @@ makes them unique.  Each of ``SKETCHES`` sketches takes the ``PICKS`` shingles
 that are smallest under its own hash and keeps them in the order of the text,
 so that two texts share a sketch when they share those shingles in that order.
 
-Candidates are stars, never all pairs: a text meets the smallest id among
-those that share a sketch and a class of length, and among those that share
-two neighbouring sketches.  Both come from aggregations, so a sketch that a
-third of the corpus shares costs as many rows as it has texts.
+Texts that share a sketch and a class of length, or two neighbouring sketches,
+are candidates.  They are compared in rounds of stars: in the first, the
+smallest id of each shared sketch meets the others of it.  Then the components
+so far are known, and in each sketch that still has several of them the next
+centres (four times as many a round) meet all members of other components; a
+centre that has met them leaves.  A sketch is done when its members are in one
+component or all were centres, so two candidates are either compared or in one
+class already, whichever of them has the smallest id.  A sketch that a third of
+the corpus shares costs as many rows as it has texts if they are near copies;
+only members that really differ are compared one by one.
 
 A candidate pair is verified by banded alignment: the shingles that both have,
 within the diagonals that the threshold allows, form matches, and the longest
@@ -137,30 +143,61 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], ["a", "b"])
 
 
-def candidates(reps: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a < b, from rows (rep, n, keys)."""
+def members(reps: DataFrame) -> DataFrame:
+    """Rows (k, rep) of the keys that several texts share, from rows (rep, n, keys)."""
     # Classes of length a factor 1.5 wide; odd sketches have them half a class off, so near lengths meet somewhere.
     log = F.log(F.col("n").cast("double")) / F.log(F.lit(1.5))
     one = F.transform("keys", lambda k, t: F.xxhash64(k, t, F.floor(log + F.when(t % 2 == 1, 0.5).otherwise(0.0))))
     two = F.transform(F.slice("keys", 1, SKETCHES - 1), lambda k, t: F.xxhash64(k, F.get("keys", t + 1), t, F.lit("two")))
     rows = reps.where("keys IS NOT NULL").select("rep", F.explode(F.concat(one, two)).alias("k"))
-    hubs = rows.groupBy("k").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub < top").select("k", "hub")
-    return rows.join(hubs, "k").where("hub < rep").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    shared = rows.groupBy("k").agg(F.min("rep").alias("low"), F.max("rep").alias("top")).where("low < top").select("k")
+    return rows.join(shared, "k").select("k", "rep")
+
+
+def centred(rest: DataFrame, more: int) -> DataFrame:
+    """Rows (k, rep, c) of the keys with several components ``c``, and whether each is a centre: the first of its key, and about ``more`` others."""
+    keys = rest.groupBy("k").agg(F.count("*").alias("size"), F.min("rep").alias("first"), F.min("c").alias("low"), F.max("c").alias("top"))
+    centre = (F.col("rep") == F.col("first")) | (F.pmod(F.xxhash64("rep"), F.col("size")) < more)
+    return rest.join(keys.where("low < top"), "k").select("k", "rep", "c", centre.alias("centre"))
+
+
+def candidates(rows: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of a centre and a member of another component."""
+    centres = rows.where("centre").select("k", F.col("rep").alias("x"), F.col("c").alias("cx"))
+    met = rows.join(centres, "k").where("c != cx AND (NOT centre OR x < rep)")
+    return met.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
+
+
+def near_pairs(reps: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The near pairs (a, b) found, and (node, label) of their components."""
+    rest, more, texts, met, near = members(reps).withColumn("c", F.col("rep")), 0, None, None, None
+    while True:
+        rows = saved(centred(rest, more))
+        pairs = candidates(rows)
+        pairs = saved(pairs if met is None else pairs.join(met, ["a", "b"], "left_anti"))
+        if texts is None:  # of all members, for in the first round each meets its centre
+            ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+            texts = saved(joined(doc_rows(docs), saved(ids), "doc_id", "inner", 200_000).distinct())
+        left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
+        full = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+        new = saved(full.select("a", "b", "ta", "tb").mapInArrow(_verify, "a long, b long").distinct())
+        met, near = (pairs, new) if met is None else (met.union(pairs), near.union(new))
+        label = components(near)
+        rest = rows.where("NOT centre").select("k", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left")
+        rest = rest.select("k", "rep", F.coalesce("label", "rep").alias("c"))
+        if not centred(rest, 0).limit(1).count():
+            return near, label
+        more = 4 * more + 3
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, class_id (smallest id of the class), n_links (near texts among its candidates)."""
+    """Per row: doc_id, class_id (smallest id of the class), n_links (near texts among those it was compared with)."""
     rows = doc_rows(docs).withColumn("h", F.xxhash64("text", F.length("text"), F.crc32("text")))
     sigs = saved(rows.mapInArrow(_sketch_rows, "doc_id long, h long, n long, keys array<long>"))
     reps = saved(sigs.where("doc_id IS NOT NULL").groupBy("h").agg(F.min(F.struct("doc_id", "n", "keys")).alias("r")).select("h", F.col("r.doc_id").alias("rep"), "r.n", "r.keys"))
-    pairs = saved(candidates(reps))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = saved(joined(doc_rows(docs), saved(ids), "doc_id", "inner", 200_000).distinct())
-    left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    full = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    near = saved(full.select("a", "b", "ta", "tb").mapInArrow(_verify, "a long, b long").distinct())
+    near, label = near_pairs(reps, docs)
     links = near.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    found = components(near).withColumnRenamed("node", "rep").join(links, "rep", "left")
+    found = label.withColumnRenamed("node", "rep").join(links, "rep", "left")
     member = sigs.select("doc_id", "h").join(reps.select("h", "rep"), "h", "left")
     out = member.join(found, "rep", "left")
     return out.select(

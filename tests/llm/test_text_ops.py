@@ -77,6 +77,28 @@ def test_near_dedup_classes(spark, odd, none):
     assert kept.columns == odd.columns and {1, 2, 9, 7}.isdisjoint({x.doc_id for x in kept.collect()})
 
 
+def test_near_dedup_families_whose_base_has_a_middle_id(spark):
+    r, rows = random.Random(7), []
+    for g in range(3):
+        base = words(r, 200, 5000)
+        family = []
+        for _ in range(40):
+            v = list(base)
+            for i in r.sample(range(200), 4):
+                v[i] = f"n{r.random()}"
+            family.append(v)
+        family.insert(20, base)
+        rows += [(len(rows) + i, " ".join(v)) for i, v in enumerate(family)]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if jaccard(rows[i][1], rows[j][1]) >= 0.8:
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    got = {x.doc_id: x.class_id for x in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(rows) == 123 and label[20] == 0 and got == dict(enumerate(label))
+
+
 def test_alignment_respects_order():
     t = near_dedup.WordHash()
     a = near_dedup.shingles(" ".join(f"a{i}" for i in range(100)), t)
