@@ -8,11 +8,11 @@ again, and texts that differ become slots while equal ones stay constants.
 What is left is one expression per host, such as
 ``<body> <nav> <ul> (<li> # </li>)+ </ul> </nav> ... (<p> # </p>)+ ...``.
 
-Its slots decide what is main text: the slots below an article (or main)
-element if the host's expression has any, without those below menus, headers,
-footers, sidebars, notices, adverts, forms and comments; else all slots outside
-such blocks that are not constant and are no mere links.  Pages keep the texts
-of the slots chosen for their host.
+The main text of a page with an article (or main) element are the slots below
+it, without those below menus, headers, footers, sidebars, notices, adverts,
+forms and comments; of a page without one, the slots outside such blocks that
+are not constant among such pages of its host and are no mere links.  So a host
+may mix both kinds of template.
 
 Shapes are combined per batch of pages and then per (host, salt) before a host
 is aligned, so a host with a third of all pages is never in one task.  All
@@ -229,8 +229,10 @@ def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             e = found.setdefault((host(url), json.dumps(fold(r.stream))), [0, {}])
             e[0] += 1
             texts: dict[str, list] = {}
+            own = _own(r.slots)
             for p, t, linked in r.slots:
-                texts.setdefault(p, []).append((t, linked))
+                if _main(p) or not own:
+                    texts.setdefault(p, []).append((t, linked))
             for p, ts in texts.items():
                 c = crc32("\0".join(t for t, _ in ts).encode("utf-8", "surrogatepass"))
                 old = e[1].setdefault(p, [c, True, 0])
@@ -266,14 +268,21 @@ def _inside(path: str) -> bool:
     return any(x in ("article", "main") for x in path.split("/"))
 
 
+def _main(path: str) -> bool:
+    return "!" not in path and _inside(path)
+
+
+def _own(slots: list[tuple[str, str, bool]]) -> bool:
+    """Whether a page has text of its own below an article or main element."""
+    return any(_main(p) for p, _, _ in slots)
+
+
 def chosen(paths: dict[str, list]) -> list[str]:
-    """The slots that hold main text."""
-    free = [p for p in paths if "!" not in p]
-    within = [p for p in free if _inside(p)]
-    if within:
-        return sorted(within)
+    """The slots that hold main text: those below an article or main element, and for pages without one the others."""
+    within = [p for p in paths if _main(p)]
+    free = [p for p in paths if "!" not in p and not _inside(p)]
     kept = [p for p in free if not paths[p][1] and (paths[p][0] is None or paths[p][2] == 1)]
-    return sorted(kept or [p for p in free if not paths[p][1]] or free)
+    return sorted(within + (kept or [p for p in free if not paths[p][1]] or free))
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
@@ -305,7 +314,8 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = []
             for page, slots in zip(b.column("html").to_pylist(), b.column("slots").to_pylist(), strict=True):
                 r, keep = Reader(page or "") if page else None, set(slots or ())
-                texts.append(" ".join(t for p, t, _ in r.slots if p in keep) if r else "")
+                own = _own(r.slots) if r else False
+                texts.append(" ".join(t for p, t, _ in r.slots if p in keep and (_main(p) or not own)) if r else "")
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))

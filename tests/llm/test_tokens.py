@@ -132,6 +132,13 @@ def test_pages(spark):
     assert "<article>" in w["h0.example"]
 
 
+def test_wrappers_of_a_host_with_two_templates(spark):
+    rows = [(i, u, f"<body><nav>Menu</nav><div>Site</div><article><p>Story {i}</p></article><div>By {i}</div></body>") for i, u in enumerate(["http://h/a", "http://h/b", None])]
+    rows += [(i, u, f"<body><nav>Menu</nav><div>Old {i}</div><section>Fixed</section></body>") for i, u in enumerate(["http://h/c", "http://h/d", None, "http://["], 3)]
+    out = {x.page_id: x.text for x in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == {i: f"Story {i}" if i < 3 else f"Old {i}" for i in range(7)}
+
+
 def test_folding_and_alignment():
     assert wrappers.fold(["<li>", "#", "</li>"] * 3) == [["+", "<li>", "#", "</li>"]]
     assert wrappers.expression(wrappers.align(["a", "b", "c"], ["a", "c", "d"])) == "a (b)? c (d)?"
