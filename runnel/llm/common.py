@@ -21,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="runnel-"))
         root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")
@@ -41,14 +43,19 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, max_rows: int) -> bool:
-    """True if ``df`` has at most ``max_rows`` rows; reads no more than that."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def size_of(df: DataFrame) -> int:
+    """Bytes of the rows of a saved table, about: eight a plain value, strings and arrays by their length."""
+    parts = [F.lit(16)]
+    for f in df.schema.fields:
+        kind, c = f.dataType.simpleString(), F.col(f"`{f.name}`")
+        long = 8 * F.size(c) if kind.startswith(("array", "map")) else F.octet_length(c) if kind in ("string", "binary") else F.lit(0)
+        parts.append(F.coalesce(long, F.lit(0)) + 8)
+    return df.select(sum(parts).cast("long").alias("n")).agg(F.sum("n")).first()[0] or 0
 
 
-def joined(left: DataFrame, right: DataFrame, on, how: str = "left", max_rows: int = 20_000) -> DataFrame:
-    """Join that broadcasts ``right`` only after its row count was checked."""
-    return left.join(F.broadcast(right) if small(right, max_rows) else right, on, how)
+def joined(left: DataFrame, right: DataFrame, on, how: str = "left", limit: int = 16 << 20) -> DataFrame:
+    """Join that broadcasts the saved table ``right`` only if it has at most ``limit`` bytes; else both sides are shuffled."""
+    return left.join(F.broadcast(right) if size_of(right) <= limit else right, on, how)
 
 
 def doc_rows(docs: DataFrame) -> DataFrame:

@@ -177,7 +177,7 @@ def near_pairs(reps: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         pairs = saved(pairs if met is None else pairs.join(met, ["a", "b"], "left_anti"))
         if texts is None:  # of all members, for in the first round each meets its centre
             ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-            texts = saved(joined(doc_rows(docs), saved(ids), "doc_id", "inner", 200_000).distinct())
+            texts = saved(joined(doc_rows(docs), saved(ids), "doc_id", "inner").distinct())
         left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
         full = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
         new = saved(full.select("a", "b", "ta", "tb").mapInArrow(_verify, "a long, b long").distinct())
@@ -210,4 +210,4 @@ def classes(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` without the documents that are not the first of their class; rows with a null id stay."""
     gone = saved(classes(docs).where("class_id != doc_id").select(F.col("doc_id").alias("__gone")).distinct())
-    return joined(docs, gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti", 200_000)
+    return joined(docs, gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")

@@ -7,22 +7,26 @@ starts in a document with a smaller id.
    whole (if they have ``LEN`` bytes).  Only different texts go on.
 2. Of every 50-byte string, the smallest hash among its ``GRAM``-byte grams
    picks an anchor, wherever the string stands.  Anchors are about one byte in
-   eighteen.  Each task sends every gram once, with the smallest id that has it
-   there; grams that are in one document only drop out.
-3. For the remaining anchors, the task that reads the text sends the stretch
-   that holds the strings which chose the anchor, keyed by the gram.  Of equal
-   stretches in a batch only the smallest id's is sent; the others are settled.
+   eighteen.  Each task sends every gram once per window of texts, with the
+   smallest id that has it there; grams in one document only drop out.  What is
+   left are rows (doc_id, gram), one for each shared anchor.
+3. For the shared anchors, the task that reads the text takes the stretch that
+   holds the strings which chose the anchor.  Suffixes that meet in a window of
+   the task are settled there: only those of the smallest id are sent, keyed by
+   the gram, so a passage of every document costs a row per window.
 4. Each group sorts the 50-byte suffixes of its stretches: multikey quicksort on
    eight-byte characters to a shallow depth, then blind tries for what still
    has a common prefix.  Equal suffixes meet, and those of larger ids go.
-   A gram with more than ``HOT`` stretches goes another way: its single
-   suffixes are the keys of an aggregation, so no task holds all of them.
+   A gram of many stretches is split into subgroups of about ``SPLIT`` by a hash
+   of its suffixes, which go through the same sort.
 
 The runs are merged per document and cut from the bytes.
 
 Defined results: a null or empty text has no bytes; rows that repeat an id
 never count as smaller than each other; a null id counts as larger than all
-ids; UTF-8 sequences may be cut apart, and the text form drops such halves.
+ids; an empty table gives no rows; texts of more than ``PIECE`` bytes are read
+in overlapping pieces, with the same result; UTF-8 sequences may be cut apart,
+and the text form drops such halves.
 """
 
 from __future__ import annotations
@@ -37,8 +41,8 @@ from pyspark.sql import functions as F
 
 from .common import doc_rows, joined, pieces, saved
 
-LEN, GRAM, SHALLOW, PIECE = 50, 16, 16, 1 << 23
-HOT, CHUNK = 20_000, 12_000
+LEN, GRAM, SHALLOW, PIECE = 50, 16, 16, 1 << 21
+GRAMS_HELD, STRETCHES_HELD, SPLIT, CHUNK = 1 << 20, 1 << 16, 1_000, 12_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _LAST = (1 << 63) - 1
 
@@ -80,9 +84,10 @@ def equal_suffixes(rows: np.ndarray) -> np.ndarray:
 
     Shallow: multikey quicksort whose characters are eight bytes; every pass
     sorts the groups that are still equal by their next character.  Deep: each
-    remaining group is a blind trie, grown level by level.  All members are
-    compared with the group's first, the common stretch is skipped unseen, and
-    the group branches at the first character in which any member differs.
+    remaining group is a blind trie, grown path by path.  Its first member is a
+    path from the root to a leaf; every other member is compared with it once,
+    which gives the place where it leaves the path.  Members that leave at one
+    place by one character are the next group, whose path starts there.
     """
     n = len(rows)
     wide = np.zeros((n, -(-LEN // 8) * 8), np.uint8)
@@ -96,29 +101,19 @@ def equal_suffixes(rows: np.ndarray) -> np.ndarray:
         order, group, c = order[again], group[again], c[again]
         group = np.cumsum(np.append(False, (group[1:] != group[:-1]) | (c[1:] != c[:-1])))
     out = np.empty(n, np.int64)
-    live, free = np.arange(n), 0
-    depth = SHALLOW // 8
-    while len(live):
-        g = group[live]
-        head = np.append(True, g[1:] != g[:-1])
-        start = np.nonzero(head)[0]
-        size = np.diff(np.append(start, len(live)))
+    free, depth = 0, SHALLOW // 8
+    while len(order):
+        head = np.append(True, group[1:] != group[:-1])
         number = np.cumsum(head) - 1
-        own = chars[order[live]]
-        differs = (own != own[start][number])[:, depth:]
-        any_differs = np.logical_or.reduceat(differs, start, axis=0)
-        branch = any_differs.any(axis=1) & (size > 1)
-        done = ~branch[number]
-        out[order[live[done]]] = free + number[done]
-        free += len(start)
-        live, number, own = live[~done], number[~done], own[~done]
-        if not len(live):
-            break
-        at = depth + np.argmax(any_differs, axis=1)
-        c = own[np.arange(len(live)), at[number]]
-        again = np.lexsort((c, number))
-        order[live], c, number = order[live[again]], c[again], number[again]
-        group[live] = np.cumsum(np.append(False, (number[1:] != number[:-1]) | (c[1:] != c[:-1])))
+        differs = chars[order, depth:] != chars[order[head], depth:][number]
+        on_path = ~differs.any(axis=1)
+        out[order[on_path]] = free + number[on_path]
+        free += int(head.sum())
+        order, number, at = order[~on_path], number[~on_path], depth + np.argmax(differs[~on_path], axis=1)
+        c = chars[order, at]
+        again = np.lexsort((c, at, number))
+        order, number, at, c = order[again], number[again], at[again], c[again]
+        group = np.cumsum(np.append(False, (number[1:] != number[:-1]) | (at[1:] != at[:-1]) | (c[1:] != c[:-1]))) if len(order) else order
     return out
 
 
@@ -141,97 +136,128 @@ def _starts(x: np.ndarray) -> np.ndarray:
     return np.nonzero(np.append(True, x[1:] != x[:-1]))[0] if len(x) else np.zeros(0, np.int64)
 
 
-def _by_doc(ids: np.ndarray, k: np.ndarray) -> tuple[list, list]:
-    order = np.argsort(ids, kind="stable")
-    ids, k = ids[order], k[order].view(np.int64)
-    cut = np.append(_starts(ids), len(ids))
-    return ids[cut[:-1]].tolist(), [k[s:e] for s, e in zip(cut[:-1], cut[1:], strict=True)]
-
-
-_GRAMS = pa.schema([("bucket", pa.int64()), ("doc_id", pa.int64()), ("blob", pa.binary()), ("grams", pa.list_(pa.int64()))])
+_GRAMS = pa.schema([("bucket", pa.int64()), ("blob", pa.binary()), ("doc_id", pa.int64()), ("gram", pa.int64())])
 
 
 def _grams(buckets: int):
-    """Per batch of texts: a blob of its grams for each bucket, with the smallest id of
-    each; and, for the ids that are not the smallest, their grams (known as shared)."""
+    """Per window of texts: a blob of its grams for each bucket, with the smallest id of
+    each; and, for the ids that are not the smallest, rows of their grams (known as shared)."""
+
+    def rows(keys: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
+        k, d = np.concatenate(keys), np.concatenate(ids)
+        order = np.lexsort((d, k))
+        k, d = k[order], d[order]
+        first = _starts(k)
+        more = np.ones(len(k), bool)
+        more[first] = False
+        more &= d != np.repeat(d[first], np.diff(np.append(first, len(k))))
+        many = np.logical_or.reduceat(more, first)
+        known, grams = d[more], k[more].view(np.int64)
+        k, d = k[first], d[first]
+        bucket = (k % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        k, d, many, bucket = k[order], d[order], many[order], bucket[order]
+        cut = np.append(_starts(bucket), len(k))
+        blobs = [_blob(k[s:e], d[s:e], many[s:e]) for s, e in zip(cut[:-1], cut[1:], strict=True)]
+        n, m = len(blobs), len(known)
+        cols = [
+            pa.array(np.append(bucket[cut[:-1]], (known ^ grams) % buckets)),  # known rows need no meeting: dealt evenly
+            pa.array(blobs + [None] * m, pa.binary()),
+            pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(known)]),
+            pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(grams)]),
+        ]
+        return pa.RecordBatch.from_arrays(cols, schema=_GRAMS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys, ids = [], []
+        keys, ids, held = [], [], 0
+        for b in pieces(batches, "text"):
             for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                keys.append(np.unique(anchors(np.frombuffer(t.encode(), np.uint8))[0]))
-                ids.append(np.full(len(keys[-1]), d, np.int64))
-            k, d = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, ids))
-            if not len(k):
-                continue
-            order = np.lexsort((d, k))
-            k, d = k[order], d[order]
-            first = _starts(k)
-            more = np.ones(len(k), bool)
-            more[first] = False
-            more &= d != np.repeat(d[first], np.diff(np.append(first, len(k))))
-            many = np.logical_or.reduceat(more, first)
-            known, grams = _by_doc(d[more], k[more])
-            k, d = k[first], d[first]
-            bucket = (k % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            k, d, many, bucket = k[order], d[order], many[order], bucket[order]
-            cut = np.append(_starts(bucket), len(k))
-            blobs = [_blob(k[s:e], d[s:e], many[s:e]) for s, e in zip(cut[:-1], cut[1:], strict=True)]
-            n, m = len(blobs), len(known)
-            rows = [bucket[cut[:-1]].tolist() + [i % buckets for i in known], [None] * n + known, blobs + [None] * m, [None] * n + grams]
-            yield pa.RecordBatch.from_arrays([pa.array(r, f.type) for r, f in zip(rows, _GRAMS, strict=True)], schema=_GRAMS)
+                k = np.unique(anchors(np.frombuffer(t.encode(), np.uint8))[0])
+                if len(k):
+                    keys.append(k)
+                    ids.append(np.full(len(k), d, np.int64))
+                    held += len(k)
+            if held > GRAMS_HELD:
+                yield rows(keys, ids)
+                keys, ids, held = [], [], 0
+        if held:
+            yield rows(keys, ids)
 
     return run
 
 
 def _shared(part: pa.Table) -> pa.Table:
-    """(doc_id, grams): what is shared, of a bucket; each batch counts as one document with its smallest id."""
-    known = part.filter(part.column("doc_id").is_valid()).select(["doc_id", "grams"])
-    rows = [_unblob(x) for x in part.column("blob").drop_null().to_pylist()]
-    ids, grams = [], []
-    if rows:
-        k, d, many = (np.concatenate([r[i] for r in rows]) for i in range(3))
-        order = np.lexsort((d, k))
-        k, d, many = k[order], d[order], many[order]
-        first = _starts(k)
-        size = np.diff(np.append(first, len(k)))
-        last = d[np.append(first[1:], len(k)) - 1]
-        found = np.repeat((last > d[first]) | np.logical_or.reduceat(many, first), size)
-        ids, grams = _by_doc(d[found], k[found])
-    out = pa.table({"doc_id": pa.array(ids, pa.int64()), "grams": pa.array(grams, pa.list_(pa.int64()))})
-    return pa.concat_tables([out, known.cast(out.schema)])
+    """(doc_id, gram): what is shared, of a bucket; each window counts as one document with its smallest id."""
+    known = part.filter(part.column("doc_id").is_valid()).select(["doc_id", "gram"])
+    blobs = [_unblob(x) for x in part.column("blob").drop_null().to_pylist()]
+    if not blobs:
+        return known
+    k, d, many = (np.concatenate([r[i] for r in blobs]) for i in range(3))
+    order = np.lexsort((d, k))
+    k, d, many = k[order], d[order], many[order]
+    first = _starts(k)
+    last = d[np.append(first[1:], len(k)) - 1]
+    found = np.repeat((last > d[first]) | np.logical_or.reduceat(many, first), np.diff(np.append(first, len(k))))
+    return pa.concat_tables([known, pa.table({"doc_id": d[found], "gram": k[found].view(np.int64)})])
 
 
 _STRETCH = pa.schema([("gram", pa.int64()), ("doc_id", pa.int64()), ("h", pa.int64()), ("begin", pa.int64()), ("end", pa.int64()), ("bytes", pa.binary())])
 
 
+def _settled(gram: np.ndarray, ids: np.ndarray, h: np.ndarray, begin: np.ndarray, data: list[bytes]) -> pa.RecordBatch:
+    """The rows of a window: stretches to send, and, without bytes, spans that a smaller id of the window settles."""
+    order = np.argsort(gram, kind="stable")
+    first = np.append(_starts(gram[order]), len(gram))
+    size = np.diff(first)
+    alone = order[np.repeat(size == 1, size)]
+    meet = order[np.repeat(size > 1, size)]
+    cols = [gram[alone], ids[alone], h[alone], begin[alone], begin[alone] + np.array([len(data[i]) for i in alone], np.int64)]
+    out = [data[i] for i in alone]
+    # Whole grams at a time, so that no more than about CHUNK stretches are suffixes at once.
+    cuts, s = np.cumsum(size[size > 1]), 0
+    while s < len(meet):
+        e = int(cuts[max(np.searchsorted(cuts, s + CHUNK, side="right") - 1, np.searchsorted(cuts, s, side="right"))])
+        rows = meet[s:e]
+        strings, owner, place = _suffixes([data[i] for i in rows], begin[rows])
+        cls = equal_suffixes(strings)
+        least = np.full(cls.max() + 1, _LAST)
+        np.minimum.at(least, cls, ids[rows][owner])
+        gone = ids[rows][owner] > least[cls]
+        o, b, n = _runs(gone, place, owner)
+        cols = [np.append(c, x) for c, x in zip(cols, (gram[rows[o]], ids[rows[o]], h[rows[o]], b, n), strict=True)]
+        out += [None] * len(o)
+        o, b, n = _runs(~gone, place, owner)
+        cols = [np.append(c, x) for c, x in zip(cols, (gram[rows[o]], ids[rows[o]], h[rows[o]], b, n), strict=True)]
+        out += [data[r][x - y : z - y] for r, x, z, y in zip(rows[o].tolist(), b.tolist(), n.tolist(), begin[rows[o]].tolist(), strict=True)]
+        s = e
+    return pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(out, pa.binary())], schema=_STRETCH)
+
+
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The stretches of shared anchors; without bytes: a span that is settled here."""
-    for b in batches:
-        seen: dict[tuple, int] = {}
-        rows: list[tuple] = []
-        for d, h, t, grams in zip(*[b.column(c).to_pylist() for c in ("doc_id", "h", "text", "grams")], strict=True):
+    held: list[tuple] = []
+    n = 0
+
+    def window() -> pa.RecordBatch:
+        gram, ids, h, begin = (np.concatenate([x[i] for x in held]) for i in range(4))
+        out = _settled(gram, ids, h, begin, [y for x in held for y in x[4]])
+        held.clear()
+        return out
+
+    for b in pieces(batches, "text"):
+        grams = b.column("grams")
+        for i, (d, h, t) in enumerate(zip(*[b.column(c).to_pylist() for c in ("doc_id", "h", "text")], strict=True)):
             raw = t.encode()
             k, _, first, last = anchors(np.frombuffer(raw, np.uint8))
             k = k.view(np.int64)
-            for i in np.nonzero(np.isin(k, np.array(grams, np.int64)))[0].tolist():
-                s, e = int(first[i]), int(last[i]) + LEN
-                gram, piece = int(k[i]), raw[s:e]
-                at = seen.get((gram, piece))
-                if at is None:
-                    seen[(gram, piece)] = len(rows)
-                    rows.append((gram, d, h, s, e, piece))
-                elif d > rows[at][1]:
-                    rows.append((None, d, h, s, e, None))
-                elif d < rows[at][1]:
-                    old = rows[at]
-                    rows[at] = (gram, d, h, s, e, piece)
-                    rows.append((None, *old[1:5], None))
-                # of the same id: the sent one stands for it only where ids differ, so send it too
-                elif (h, s) != rows[at][2:4]:
-                    rows.append((gram, d, h, s, e, piece))
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_STRETCH)], schema=_STRETCH)
+            at = np.nonzero(np.isin(k, grams[i].values.to_numpy(zero_copy_only=False)))[0]
+            data = [raw[s:e] for s, e in zip(first[at].tolist(), (last[at] + LEN).tolist(), strict=True)]
+            held.append((k[at], np.full(len(at), d), np.full(len(at), h), first[at], data))
+            n += len(at)
+            if n > STRETCHES_HELD:
+                yield window()
+                n = 0
+    if n:
+        yield window()
 
 
 def _runs(dup: np.ndarray, place: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -258,10 +284,10 @@ def _suffixes(data: list[bytes], begin: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _sorted(part: pa.Table) -> pa.Table:
-    """The spans of a bucket that start in a smaller id too; whole grams, some at a time."""
-    part = part.sort_by("gram")
-    gram = part.column("gram").to_numpy()
-    first = np.append(_starts(gram), len(gram))
+    """The spans of a bucket that start in a smaller id too; whole subgroups, some at a time."""
+    part = part.sort_by([("gram", "ascending"), ("sub", "ascending")])
+    gram, sub = part.column("gram").to_numpy(), part.column("sub").to_numpy()
+    first = np.append(np.nonzero(np.append(True, (gram[1:] != gram[:-1]) | (sub[1:] != sub[:-1])))[0], len(gram))
     out, s = [], 0
     while s < len(gram):
         e = int(first[max(np.searchsorted(first, s + CHUNK, side="right") - 1, np.searchsorted(first, s, side="right"))])
@@ -277,40 +303,48 @@ def _sorted(part: pa.Table) -> pa.Table:
     return pa.concat_tables(out)
 
 
-def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        if not b.num_rows:
-            continue
-        strings, owner, place = _suffixes(b.column("bytes").to_pylist(), b.column("begin").to_numpy())
-        cols = [pa.array([x.tobytes() for x in strings], pa.binary()), *[pa.array(b.column(c).to_numpy()[owner]) for c in ("doc_id", "h")], pa.array(place)]
-        yield pa.RecordBatch.from_arrays(cols, ["suffix", "doc_id", "h", "place"])
+_SPLIT = "gram long, sub long, doc_id long, h long, begin long, bytes binary"
+
+
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The suffixes of stretches of common grams, each with the subgroup that its hash picks of ``parts``."""
+    for whole in batches:
+        for i in range(0, whole.num_rows, CHUNK):
+            b = whole.slice(i, CHUNK)
+            strings, owner, place = _suffixes(b.column("bytes").to_pylist(), b.column("begin").to_numpy())
+            x = np.zeros(len(strings), np.uint64)
+            for k in range(0, LEN - 7, 6):
+                x = (x ^ strings[:, k : k + 8].copy().view("<u8").ravel()) * _A
+                x ^= x >> np.uint64(29)
+            sub = (x % b.column("parts").to_numpy()[owner].astype(np.uint64)).astype(np.int64)
+            text = pa.FixedSizeBinaryArray.from_buffers(pa.binary(LEN), len(strings), [None, pa.py_buffer(np.ascontiguousarray(strings).tobytes())])
+            cols = [b.column("gram").to_numpy()[owner], sub, *[b.column(c).to_numpy()[owner] for c in ("doc_id", "h")], place]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), text.cast(pa.binary())], ["gram", "sub", "doc_id", "h", "begin", "bytes"])
 
 
 def spans(docs: DataFrame) -> DataFrame:
     """(doc_id, h, begin, end): byte ranges to remove, overlapping, of rows (doc_id, h, text)."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    small = saved(docs.select("doc_id", "h", F.octet_length("text").cast("long").alias("n")).distinct())
-    least = small.groupBy("h").agg(F.min("doc_id").alias("least"), F.count("*").alias("c")).where("c > 1").select("h", "least")
-    copies = saved(small.join(least, "h").where("doc_id > least").select("doc_id", "h", "n"))
-    rest = joined(docs, copies.select("doc_id", "h"), ["doc_id", "h"], "left_anti", 200_000)
-    buckets = 2 * parts
-    sent = rest.select("doc_id", "text").mapInArrow(_grams(buckets), "bucket long, doc_id long, blob binary, grams array<long>")
-    shared = saved(sent.groupBy("bucket").applyInArrow(_shared, "doc_id long, grams array<long>"))
-    by_doc = shared.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("grams"))).alias("grams"))  # no more than a document has
-    found = rest.join(by_doc, "doc_id").select("doc_id", "h", "text", "grams")
+    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sizes = saved(docs.select("doc_id", "h", F.octet_length("text").cast("long").alias("n")).distinct())
+    least = sizes.groupBy("h").agg(F.min("doc_id").alias("least"), F.count("*").alias("c")).where("c > 1").select("h", "least")
+    copies = saved(sizes.join(least, "h").where("doc_id > least").select("doc_id", "h", "n"))
+    rest = joined(docs, copies.select("doc_id", "h"), ["doc_id", "h"], "left_anti")
+    sent = rest.select("doc_id", "text").mapInArrow(_grams(buckets), "bucket long, blob binary, doc_id long, gram long")
+    shared = saved(sent.groupBy("bucket").applyInArrow(_shared, "doc_id long, gram long"))
+    by_doc = shared.groupBy("doc_id").agg(F.collect_set("gram").alias("grams"))  # no more than a document has
+    found = rest.join(by_doc.hint("shuffle_hash"), "doc_id").select("doc_id", "h", "text", "grams")
     stretches = saved(found.mapInArrow(_stretches, "gram long, doc_id long, h long, begin long, end long, bytes binary"))
     settled = stretches.where("bytes IS NULL").select("doc_id", "h", "begin", "end")
-    todo = stretches.where("bytes IS NOT NULL")
-    counts = todo.groupBy("gram").agg(F.count("*").alias("c"))
-    hot = saved(counts.where(F.col("c") > HOT).select("gram"))
-    cold = joined(todo, hot, "gram", "left_anti").withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets)))
-    cold = cold.groupBy("bucket").applyInArrow(_sorted, "doc_id long, h long, begin long, end long")
-    single = joined(todo, hot, "gram", "left_semi").mapInArrow(_single, "suffix binary, doc_id long, h long, place long")
-    low = single.groupBy("suffix").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("suffix", "least")
-    hot_spans = single.join(low, "suffix").where("doc_id > least").select("doc_id", "h", F.col("place").alias("begin"), (F.col("place") + LEN).alias("end"))
+    todo = stretches.where("bytes IS NOT NULL").select("gram", "doc_id", "h", "begin", "bytes")
+    counts = todo.groupBy("gram").agg(F.ceil(F.count("*") / SPLIT).alias("parts"))
+    common = saved(counts.where("parts > 1"))
+    rare = joined(todo, common, "gram", "left_anti").select("gram", F.lit(0).cast("long").alias("sub"), "doc_id", "h", "begin", "bytes")
+    split = joined(todo, common, "gram", "inner").select("gram", "parts", "doc_id", "h", "begin", "bytes").mapInArrow(_split, _SPLIT)
+    groups = rare.union(split).withColumn("bucket", F.pmod(F.xxhash64("gram", "sub"), F.lit(buckets)))
+    met = groups.groupBy("bucket").applyInArrow(_sorted, "doc_id long, h long, begin long, end long")
     whole = copies.where(F.col("n") >= LEN).select("doc_id", "h", F.lit(0).cast("long").alias("begin"), F.col("n").alias("end"))
-    return settled.union(cold).union(hot_spans).union(whole)
+    return settled.union(met).union(whole)
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -356,9 +390,9 @@ def digest(docs: DataFrame) -> DataFrame:
             kinds = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, (_, k) in enumerate(kinds)], [n for n, _ in kinds])
 
-    r = _ranges(docs)
+    r = _ranges(docs).hint("shuffle_hash")  # as many as there are repeats, so never broadcast
     rows = _keyed(docs)
-    rows = joined(rows, r, (rows["doc_id"] == r["__id"]) & (rows["h"] == r["__h"]), "left", 200_000).select("doc_id", "text", "__r")
+    rows = rows.join(r, (rows["doc_id"] == r["__id"]) & (rows["h"] == r["__h"]), "left").select("doc_id", "text", "__r")
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -377,8 +411,8 @@ def cut_texts(docs: DataFrame) -> DataFrame:
             cols = [pa.array(new[c], b.schema.field(c).type) if c in new else b.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    r = _ranges(docs)
+    r = _ranges(docs).hint("shuffle_hash")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.withColumns({"__i": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "__x": F.xxhash64(text, F.length(text), F.crc32(text))})
-    rows = joined(rows, r, (F.col("__i") == F.col("__id")) & (F.col("__x") == F.col("__h")), "left", 200_000)
+    rows = rows.join(r, (F.col("__i") == F.col("__id")) & (F.col("__x") == F.col("__h")), "left")
     return rows.select(*[F.col(f"`{c}`") for c in names], "__r").mapInArrow(run, docs.schema)

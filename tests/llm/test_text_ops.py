@@ -107,18 +107,18 @@ def test_alignment_respects_order():
 
 
 def brute_suffix(rows, size=50):
-    first = {}
+    first, last = {}, 1 << 63
     for d, t in rows:
         b = (t or "").encode()
         for i in range(len(b) - size + 1):
             k = b[i : i + size]
-            first[k] = min(first.get(k, d), d)
+            first[k] = min(first.get(k, last), last if d is None else d)
     out = []
     for d, t in rows:
         b = (t or "").encode()
         gone = np.zeros(len(b) + 1, bool)
         for i in range(len(b) - size + 1):
-            if first[b[i : i + size]] < d:
+            if first[b[i : i + size]] < (last if d is None else d):
                 gone[i : i + size] = True
         kept = bytes(x for x, g in zip(b, gone) if not g)
         out.append((d, len(b), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest()))
@@ -139,18 +139,44 @@ def test_suffix_dedup(spark, odd, none):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     assert sorted(map(tuple, suffix_dedup.digest(df).collect()), key=str) == brute_suffix(rows)
     assert suffix_dedup.digest(none).count() == 0
+    odd_texts = [(x.doc_id, x.text) for x in odd.collect()]
+    assert sorted(map(tuple, suffix_dedup.digest(odd).collect()), key=str) == brute_suffix(odd_texts)
     cut = suffix_dedup.cut_texts(odd)
     assert cut.columns == odd.columns and cut.count() == odd.count()
     assert {x.doc_id: x.text for x in cut.collect()}[1] == ""
 
 
-def test_hot_grams_take_the_other_way(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "HOT", 2)
+def test_common_grams_are_split(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SPLIT", 2)
     rows = [(i, f"{i} " * 5 + "the same long passage that is in every document of this table, again " * 2 + f"{i}" * 7) for i in range(9)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert sorted(map(tuple, suffix_dedup.digest(df).collect()), key=str) == brute_suffix(rows)
 
 
+def test_texts_read_in_pieces_have_the_same_anchors(monkeypatch):
+    b = np.random.default_rng(1).integers(97, 100, 5000).astype(np.uint8)
+
+    def by_start():
+        out = {}
+        for k, _, s, e in zip(*suffix_dedup.anchors(b)):
+            for i in range(s, e + 1):
+                out.setdefault(i, set()).add(int(k))
+        return out
+
+    whole = by_start()
+    monkeypatch.setattr(suffix_dedup, "PIECE", 256)
+    assert sorted(whole) == list(range(len(b) - suffix_dedup.LEN + 1)) and by_start() == whole
+
+
+def test_strings_that_meet_in_one_window_are_settled_there():
+    data = [b"x" * 60, b"y" + b"x" * 59, b"z" * 50]
+    at = np.array([0, 7, 3])
+    out = suffix_dedup._settled(np.array([5, 5, 6]), np.array([2, 1, 1]), np.array([0, 0, 0]), at, data).to_pylist()
+    sent = sorted((r["doc_id"], r["begin"], r["bytes"]) for r in out if r["bytes"])
+    assert [(r["doc_id"], r["begin"], r["end"]) for r in out if not r["bytes"]] == [(2, 0, 60)]
+    assert sent == [(1, 3, data[2]), (1, 7, data[1])]
+
+
 def test_equal_suffixes():
     r = np.random.default_rng(0)
     rows = r.integers(97, 99, (400, suffix_dedup.LEN)).astype(np.uint8)
