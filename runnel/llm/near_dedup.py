@@ -5,9 +5,12 @@ text, the five-word shingles are labelled with their occurrence number, which
 makes them unique.  Each of ``SKETCHES`` sketches takes the ``PICKS`` shingles
 that are smallest under its own hash and keeps them in the order of the text,
 so that two texts share a sketch when they share those shingles in that order.
+With ``PICKS`` = 2 and 32 sketches, a pair with a changed word in ten (some 42 %
+of the shingles in common) shares one with probability 0.998, and a pair at the
+threshold with about 0.7.
 
-Texts that share a sketch and a class of length, or two neighbouring sketches,
-are candidates.  They are compared in rounds of stars: in the first, the
+Texts that share a sketch and a class of length are candidates.  They are
+compared in rounds of stars: in the first, the
 smallest id of each shared sketch meets the others of it.  Then the components
 so far are known, and in each sketch that still has several of them the next
 centres (four times as many a round) meet all members of other components; a
@@ -17,20 +20,22 @@ class already, whichever of them has the smallest id.  A sketch that a third of
 the corpus shares costs as many rows as it has texts if they are near copies;
 only members that really differ are compared one by one.
 
-A candidate pair is verified by banded alignment: the shingles that both have,
-within the diagonals that the threshold allows, form matches, and the longest
-chain of them that ascends in both texts counts ``m``.  The pair is near when
-``m / (n1 + n2 - m) >= SIMILARITY``.  Classes are the connected components of
-the near pairs.
+A candidate pair is verified by banded alignment of its words: ``m`` is the
+longest common subsequence of the two word sequences inside the diagonals that
+the threshold allows (bit-parallel, one machine word for 64 words).  The pair
+is near when ``m`` is at least ``SIMILARITY`` of the longer sequence.  Classes
+are the connected components of the near pairs.
 
 Defined results: texts without words are copies of each other only if equal; a
 text of fewer than five words is one shingle; repeated ids count as one
-document, near what any of its texts is near; a null id has a null class.
+document, near what any of its texts is near; a null id has a null class; an
+empty table gives no rows; long texts are aligned whole, in memory of the order
+of their words.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,8 +47,9 @@ from pyspark.sql import functions as F
 from .common import doc_rows, joined, pieces, saved
 from .graphs import components
 
-WORDS, PICKS, SKETCHES, SIMILARITY = 5, 3, 16, 0.8
+WORDS, PICKS, SKETCHES, SIMILARITY, SPOKES = 5, 2, 32, 0.8, 256
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_ROWS = np.arange(SKETCHES)
 _SEEDS = (np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))[:, None]
 
 
@@ -64,12 +70,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * _B
 
 
-def shingles(text: str, words: WordHash, size: int = WORDS) -> np.ndarray:
-    """Occurrence-labelled shingle hashes in order; no two are the same."""
+def word_hashes(text: str, words: WordHash) -> np.ndarray:
     tokens = text.split()
-    if not tokens:
-        return np.zeros(0, np.uint64)
-    w = np.fromiter(map(words.__getitem__, tokens), np.uint64, len(tokens))
+    return np.fromiter(map(words.__getitem__, tokens), np.uint64, len(tokens))
+
+
+def shingles(w: np.ndarray, size: int = WORDS) -> np.ndarray:
+    """Occurrence-labelled shingle hashes of word hashes, in order; no two are the same."""
+    if not len(w):
+        return w
     n = max(1, len(w) - size + 1)
     h = np.zeros(n, np.uint64)
     for j in range(min(size, len(w))):
@@ -84,40 +93,65 @@ def shingles(text: str, words: WordHash, size: int = WORDS) -> np.ndarray:
     return h
 
 
-def sketches(h: np.ndarray) -> np.ndarray:
-    """One hash per sketch: the smallest ``PICKS`` shingles of each, in text order."""
-    v = _mix(h[None, :] ^ _SEEDS)
+def sketches(h: np.ndarray, block: int = 1 << 14) -> np.ndarray:
+    """One hash per sketch: the smallest ``PICKS`` shingles of each, in text order; long texts block by block."""
     k = min(PICKS, len(h))
-    at = np.sort(np.argpartition(v, k - 1, axis=1)[:, :k], axis=1)
+    values, places = np.empty((SKETCHES, 0), np.uint64), np.empty((SKETCHES, 0), np.int64)
+    for s in range(0, len(h), block):
+        v = _mix(h[None, s : s + block] ^ _SEEDS)
+        at = np.empty((SKETCHES, min(k, v.shape[1])), np.int64)
+        low = np.empty(at.shape, np.uint64)
+        for j in range(at.shape[1]):
+            at[:, j] = v.argmin(axis=1)
+            low[:, j] = v[_ROWS, at[:, j]]
+            v[_ROWS, at[:, j]] = np.uint64(0xFFFFFFFFFFFFFFFF)
+        values, places = np.hstack([values, low]), np.hstack([places, at + s])
+        if values.shape[1] > k:
+            best = np.argsort(values, axis=1, kind="stable")[:, :k]
+            values, places = np.take_along_axis(values, best, 1), np.take_along_axis(places, best, 1)
+    places.sort(axis=1)
     out = _SEEDS.ravel().copy()
     for j in range(k):
-        out = _mix(out + h[at[:, j]])
+        out = _mix(out + h[places[:, j]])
     return out
 
 
 def aligned(a: np.ndarray, b: np.ndarray) -> float:
-    """``m / (n1 + n2 - m)`` with ``m`` the longest chain of matches inside the band; 0 when it can't reach the threshold."""
-    total = len(a) + len(b)
-    if not len(a) or not len(b):
-        return 1.0 if total == 0 else 0.0
-    need = SIMILARITY * total / (1 + SIMILARITY)
+    """Words that an alignment inside the band matches, as a share of the longer sequence; 0 when it can't reach the threshold."""
+    longer = max(len(a), len(b))
+    if not longer:
+        return 1.0
+    need = math.ceil(SIMILARITY * longer - 1e-9)
     if min(len(a), len(b)) < need:
         return 0.0
-    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    inside = np.abs(i - j) <= total - 2 * need  # each step off the diagonal costs a shingle
-    i, j = i[inside], j[inside]
-    if len(i) < need:
+    n = min(len(a), len(b))
+    differ = np.nonzero(a[:n] != b[:n])[0]
+    head = int(differ[0]) if len(differ) else n
+    differ = np.nonzero(a[::-1][: n - head] != b[::-1][: n - head])[0]
+    tail = int(differ[0]) if len(differ) else n - head
+    a, b, same = a[head : len(a) - tail], b[head : len(b) - tail], head + tail
+    if not len(a) or not len(b):
+        return same / longer
+    x, y, counts = *np.split(np.unique(np.concatenate([a, b]), return_inverse=True)[1], [len(a)]), None
+    kinds = int(max(x.max(), y.max())) + 1
+    counts = np.minimum(np.bincount(x, minlength=kinds), np.bincount(y, minlength=kinds))
+    if same + int(counts.sum()) < need:  # not even in any order
         return 0.0
-    j = j[np.argsort(i)]
-    if (j[1:] > j[:-1]).all():
-        m = len(j)
-    else:
-        tails: list[int] = []
-        for x in j.tolist():
-            k = bisect_left(tails, x)
-            tails[k : k + 1] = [x]
-        m = len(tails)
-    return m / (total - m)
+    # What is left on each side has at most ``longer - need`` words without a match, which bounds the shift between matches.
+    band = max(len(a), len(b)) - (need - same)
+    masks: dict[int, int] = {}
+    for i, w in enumerate(x.tolist()):
+        if counts[w]:
+            masks[w] = masks.get(w, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    v, window = full, (1 << (2 * band + 1)) - 1
+    for j, w in enumerate(y.tolist()):
+        m = masks.get(w, 0)
+        if m:
+            m &= window << (j - band) if j >= band else window >> (band - j)
+            u = v & m
+            v = ((v + u) | (v - u)) & full
+    return (same + len(a) - v.bit_count()) / longer
 
 
 def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,31 +159,50 @@ def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in pieces(batches, "text"):
         n, keys = [], []
         for t in b.column("text").to_pylist():
-            h = shingles(t, words)
+            h = shingles(word_hashes(t, words))
             n.append(len(h))
             keys.append(sketches(h).view(np.int64) if len(h) else None)
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "h", "n", "keys"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words, held, last = WordHash(), None, None
-    for b in pieces(batches, "tb"):
-        ok = []
-        for ta, tb in zip(b.column("ta").to_pylist(), b.column("tb").to_pylist(), strict=True):
-            if ta is not last and ta != last:  # rows come sorted by their star's centre
-                held, last = shingles(ta, words), ta
-            ok.append(aligned(held, shingles(tb, words)) >= SIMILARITY)
-        ok = pa.array(ok, pa.bool_())
-        yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], ["a", "b"])
+    """Rows come sorted by (a, salt, b): first the centre's text (or texts, if its id repeats), whose b is null, then its spokes."""
+    words, centre, held = WordHash(), None, []
+    for b in pieces(batches, "text"):
+        ca, cb = [], []
+        for x, s, y, t in zip(*[b.column(c).to_pylist() for c in ("a", "salt", "b", "text")], strict=True):
+            w = word_hashes(t, words)
+            if y is None:
+                held = [*held, w] if centre == (x, s) else [w]
+                centre = (x, s)
+            elif any(aligned(c, w) >= SIMILARITY for c in held):
+                ca.append(x)
+                cb.append(y)
+        yield pa.RecordBatch.from_arrays([pa.array(ca, pa.int64()), pa.array(cb, pa.int64())], ["a", "b"])
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The near ones of distinct pairs (a, b): ``a`` is the centre of a star, ``b`` a spoke.
+
+    The spokes' texts are dealt by (a, salt), with a salt for every ``SPOKES``
+    of them, and the centre's text goes once to each salt; it is not copied to
+    every spoke.
+    """
+    stars = pairs.groupBy("a").agg(F.ceil(F.count("*") / SPOKES).alias("salts"))
+    dealt = pairs.join(stars, "a").select("a", F.pmod(F.xxhash64("b"), "salts").alias("salt"), "b")
+    spokes = dealt.join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "salt", "b", "text")
+    heads = stars.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    heads = heads.join(texts.withColumnRenamed("doc_id", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
+    rows = heads.union(spokes).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    return rows.mapInArrow(_verify, "a long, b long").distinct()
 
 
 def members(reps: DataFrame) -> DataFrame:
     """Rows (k, rep) of the keys that several texts share, from rows (rep, n, keys)."""
     # Classes of length a factor 1.5 wide; odd sketches have them half a class off, so near lengths meet somewhere.
     log = F.log(F.col("n").cast("double")) / F.log(F.lit(1.5))
-    one = F.transform("keys", lambda k, t: F.xxhash64(k, t, F.floor(log + F.when(t % 2 == 1, 0.5).otherwise(0.0))))
-    two = F.transform(F.slice("keys", 1, SKETCHES - 1), lambda k, t: F.xxhash64(k, F.get("keys", t + 1), t, F.lit("two")))
-    rows = reps.where("keys IS NOT NULL").select("rep", F.explode(F.concat(one, two)).alias("k"))
+    keys = F.transform("keys", lambda k, t: F.xxhash64(k, t, F.floor(log + F.when(t % 2 == 1, 0.5).otherwise(0.0))))
+    rows = reps.where("keys IS NOT NULL").select("rep", F.explode(keys).alias("k"))
     shared = rows.groupBy("k").agg(F.min("rep").alias("low"), F.max("rep").alias("top")).where("low < top").select("k")
     return rows.join(shared, "k").select("k", "rep")
 
@@ -178,9 +231,7 @@ def near_pairs(reps: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         if texts is None:  # of all members, for in the first round each meets its centre
             ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
             texts = saved(joined(doc_rows(docs), saved(ids), "doc_id", "inner").distinct())
-        left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-        full = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-        new = saved(full.select("a", "b", "ta", "tb").mapInArrow(_verify, "a long, b long").distinct())
+        new = saved(verified(pairs, texts))
         met, near = (pairs, new) if met is None else (met.union(pairs), near.union(new))
         label = components(near)
         rest = rows.where("NOT centre").select("k", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left")

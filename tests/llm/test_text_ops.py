@@ -40,17 +40,16 @@ def none(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def jaccard(a, b):
-    """Of occurrence-labelled five-word shingles."""
-    def grams(t):
-        w, seen, out = t.split(), {}, set()
-        for i in range(max(1, len(w) - 4)):
-            g = tuple(w[i : i + 5])
-            seen[g] = seen.get(g, 0) + 1
-            out.add((g, seen[g]))
-        return out
-    x, y = grams(a), grams(b)
-    return len(x & y) / len(x | y)
+def similarity(a, b):
+    """Longest common subsequence of the words, as a share of the longer text."""
+    x, y = a.split(), b.split()
+    row = [0] * (len(y) + 1)
+    for w in x:
+        old = row
+        row = [0]
+        for j, v in enumerate(y):
+            row.append(old[j] + 1 if v == w else max(old[j + 1], row[j]))
+    return row[-1] / max(len(x), len(y), 1)
 
 
 def test_near_dedup_classes(spark, odd, none):
@@ -59,14 +58,14 @@ def test_near_dedup_classes(spark, odd, none):
         w = words(r, 150, 3000)
         for _ in range(r.choice([1, 2, 4])):
             v = list(w)
-            for _ in range(r.choice([0, 1, 2])):
+            for _ in range(r.choice([0, 1, 2, 8])):
                 v[r.randrange(len(v))] = f"n{r.random()}"
             rows.append((len(rows), " ".join(v)))
     got = {x.doc_id: x.class_id for x in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     label = list(range(len(rows)))
     for i in range(len(rows)):
         for j in range(i):
-            if jaccard(rows[i][1], rows[j][1]) >= 0.8:
+            if similarity(rows[i][1], rows[j][1]) >= 0.8:
                 a, b = label[i], label[j]
                 label = [min(a, b) if x in (a, b) else x for x in label]
     assert got == dict(enumerate(label))
@@ -84,7 +83,7 @@ def test_near_dedup_families_whose_base_has_a_middle_id(spark):
         family = []
         for _ in range(40):
             v = list(base)
-            for i in r.sample(range(200), 4):
+            for i in r.sample(range(200), 21):  # near the base (0.895), not near each other (0.8 or less)
                 v[i] = f"n{r.random()}"
             family.append(v)
         family.insert(20, base)
@@ -92,18 +91,34 @@ def test_near_dedup_families_whose_base_has_a_middle_id(spark):
     label = list(range(len(rows)))
     for i in range(len(rows)):
         for j in range(i):
-            if jaccard(rows[i][1], rows[j][1]) >= 0.8:
+            if similarity(rows[i][1], rows[j][1]) >= 0.8:
                 a, b = label[i], label[j]
                 label = [min(a, b) if x in (a, b) else x for x in label]
     got = {x.doc_id: x.class_id for x in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert len(rows) == 123 and label[20] == 0 and got == dict(enumerate(label))
 
 
-def test_alignment_respects_order():
-    t = near_dedup.WordHash()
-    a = near_dedup.shingles(" ".join(f"a{i}" for i in range(100)), t)
-    b = near_dedup.shingles(" ".join(f"a{(i + 50) % 100}" for i in range(100)), t)
-    assert near_dedup.aligned(a, a) == 1.0 and near_dedup.aligned(a, b) < 0.8
+def test_alignment_is_the_longest_common_subsequence():
+    t, r = near_dedup.WordHash(), random.Random(4)
+    for n in [1, 2, 5, 30, 70, 150] * 6:
+        a = words(r, n, r.choice([3, 20, 1000]))
+        b = list(a)
+        for _ in range(r.randrange(n // 4 + 2)):
+            k = r.randrange(len(b) + 1)
+            b[k : k + r.randrange(2)] = r.choice([[], ["x"], words(r, 1, 20)])
+        want = similarity(" ".join(a), " ".join(b))
+        got = near_dedup.aligned(near_dedup.word_hashes(" ".join(a), t), near_dedup.word_hashes(" ".join(b), t))
+        assert got == want if want >= 0.8 else got < 0.8
+    turned = near_dedup.word_hashes(" ".join(f"a{(i + 50) % 100}" for i in range(100)), t)
+    assert near_dedup.aligned(near_dedup.word_hashes(" ".join(f"a{i}" for i in range(100)), t), turned) < 0.8
+
+
+def test_sketches_of_blocks_are_those_of_the_whole():
+    h = near_dedup.shingles(near_dedup.word_hashes(" ".join(words(random.Random(1), 900)), near_dedup.WordHash()))
+    v = near_dedup._mix(h[None, :] ^ near_dedup._SEEDS)
+    at = np.sort(np.argsort(v, axis=1)[:, :2], axis=1)
+    want = near_dedup._mix(near_dedup._mix(near_dedup._SEEDS.ravel() + h[at[:, 0]]) + h[at[:, 1]])
+    assert (near_dedup.sketches(h) == want).all() and (near_dedup.sketches(h, 100) == want).all()
 
 
 def brute_suffix(rows, size=50):
