@@ -5,22 +5,27 @@ text, the five-word shingles are labelled with their occurrence number, which
 makes them unique.  Each of ``SKETCHES`` sketches takes the ``PICKS`` shingles
 that are smallest under its own hash and keeps them in the order of the text,
 so that two texts share a sketch when they share those shingles in that order.
-With ``PICKS`` = 2 and 32 sketches, a pair with a changed word in ten (some 42 %
-of the shingles in common) shares one with probability 0.998, and a pair at the
-threshold with about 0.7.
+With ``PICKS`` = 3 and 48 sketches, a pair with a changed word in ten (some 42 %
+of the shingles in common) shares one with probability 0.97.
 
 Texts that share a sketch and a class of length are candidates.  They are
-compared in rounds of stars: in the first, the
-smallest id of each shared sketch meets the others of it.  Then the components
-so far are known, and in each sketch that still has several of them the next
-centres (four times as many a round) meet all members of other components; a
-centre that has met them leaves.  A sketch is done when its members are in one
-component or all were centres, so two candidates are either compared or in one
-class already, whichever of them has the smallest id.  A sketch that a third of
-the corpus shares costs as many rows as it has texts if they are near copies;
-only members that really differ are compared one by one.
-
-A candidate pair is verified by banded alignment of its words: ``m`` is the
+compared in rounds of stars: in the first, the smallest id of each shared
+sketch meets the others of it.  Then the components so far are known, and in
+each sketch that still has several of them the next centres (sixteen times as
+many a round) meet all members of other components; a centre that has met them
+leaves.  A sketch is done when its members are in one component or all were
+centres, so two candidates are either compared or in one class already,
+whichever of them has the smallest id.  A sketch that a third of the corpus
+shares costs as many rows as it has texts if they are near copies; only members
+that really differ, such as texts with a common passage, are compared one by one.
+
+Most of those end at a signature of ``SLOTS`` bytes a text: its words, labelled
+by occurrence, fall into slots, and each slot keeps a byte of its smallest hash.
+Two texts of which ``SIMILARITY`` of the words match have two thirds of all
+words in common at least, so that share of slots agrees; a pair is given up four
+standard deviations below (about one near pair in 30,000 at the threshold).
+
+What is left is verified by banded alignment of the words: ``m`` is the
 longest common subsequence of the two word sequences inside the diagonals that
 the threshold allows (bit-parallel, one machine word for 64 words).  The pair
 is near when ``m`` is at least ``SIMILARITY`` of the longer sequence.  Classes
@@ -47,7 +52,7 @@ from pyspark.sql import functions as F
 from .common import doc_rows, joined, pieces, saved
 from .graphs import components
 
-WORDS, PICKS, SKETCHES, SIMILARITY, SPOKES = 5, 2, 32, 0.8, 256
+WORDS, PICKS, SKETCHES, SIMILARITY, SPOKES, SLOTS = 5, 3, 48, 0.8, 256, 64
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _ROWS = np.arange(SKETCHES)
 _SEEDS = (np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))[:, None]
@@ -154,23 +159,57 @@ def aligned(a: np.ndarray, b: np.ndarray) -> float:
     return (same + len(a) - v.bit_count()) / longer
 
 
+def signature(w: np.ndarray) -> bytes:
+    """Of the occurrence-labelled words: per slot a byte of the smallest hash, 0 for an empty slot."""
+    h = np.sort(shingles(w, 1))[::-1]
+    out = np.zeros(SLOTS, np.uint8)
+    out[(h % np.uint64(SLOTS)).astype(np.int64)] = (_mix(h) % np.uint64(255) + np.uint64(1)).astype(np.uint8)  # the last, smallest one stays
+    return out.tobytes()
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether rows of signatures may be near."""
+    used = ((a != 0) | (b != 0)).sum(axis=1)
+    same = ((a == b) & (a != 0)).sum(axis=1)
+    share = SIMILARITY / (2 - SIMILARITY)
+    return same >= share * used - 4 * np.sqrt(share * (1 - share) * used)
+
+
+_SKETCHED = "doc_id long, h long, n long, keys array<long>, sig binary"
+
+
 def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = WordHash()
     for b in pieces(batches, "text"):
-        n, keys = [], []
+        n, keys, sigs = [], [], []
         for t in b.column("text").to_pylist():
-            h = shingles(word_hashes(t, words))
-            n.append(len(h))
-            keys.append(sketches(h).view(np.int64) if len(h) else None)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "h", "n", "keys"])
+            w = word_hashes(t, words)
+            n.append(len(w))
+            keys.append(sketches(shingles(w)).view(np.int64) if len(w) else None)
+            sigs.append(signature(w) if len(w) else None)
+        cols = [b.column("doc_id"), b.column("h"), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "h", "n", "keys", "sig"])
+
+
+def starred(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """Rows (a, salt, b, value), sorted: for distinct pairs (a, b) first the value of the centre ``a``, where b is null, then those of its spokes.
+
+    The spokes are dealt by (a, salt), with a salt for every ``SPOKES`` of them,
+    and the centre's value goes once to each salt, not to every spoke.
+    """
+    stars = pairs.groupBy("a").agg(F.ceil(F.count("*") / SPOKES).alias("salts"))
+    dealt = pairs.join(stars, "a").select("a", F.pmod(F.xxhash64("b"), "salts").alias("salt"), "b")
+    spokes = dealt.join(values.withColumnRenamed("id", "b"), "b").select("a", "salt", "b", "value")
+    heads = stars.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    heads = heads.join(values.withColumnRenamed("id", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "value")
+    return heads.union(spokes).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (a, salt, b): first the centre's text (or texts, if its id repeats), whose b is null, then its spokes."""
-    words, centre, held = WordHash(), None, []
-    for b in pieces(batches, "text"):
+    words, centre, held = WordHash(), None, []  # the texts of a centre: several only if its id repeats
+    for b in pieces(batches, "value"):
         ca, cb = [], []
-        for x, s, y, t in zip(*[b.column(c).to_pylist() for c in ("a", "salt", "b", "text")], strict=True):
+        for x, s, y, t in zip(*[b.column(c).to_pylist() for c in ("a", "salt", "b", "value")], strict=True):
             w = word_hashes(t, words)
             if y is None:
                 held = [*held, w] if centre == (x, s) else [w]
@@ -181,72 +220,80 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ca, pa.int64()), pa.array(cb, pa.int64())], ["a", "b"])
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The near ones of distinct pairs (a, b): ``a`` is the centre of a star, ``b`` a spoke.
-
-    The spokes' texts are dealt by (a, salt), with a salt for every ``SPOKES``
-    of them, and the centre's text goes once to each salt; it is not copied to
-    every spoke.
-    """
-    stars = pairs.groupBy("a").agg(F.ceil(F.count("*") / SPOKES).alias("salts"))
-    dealt = pairs.join(stars, "a").select("a", F.pmod(F.xxhash64("b"), "salts").alias("salt"), "b")
-    spokes = dealt.join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "salt", "b", "text")
-    heads = stars.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
-    heads = heads.join(texts.withColumnRenamed("doc_id", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
-    rows = heads.union(spokes).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return rows.mapInArrow(_verify, "a long, b long").distinct()
+def _sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose signatures allow it; where an id repeats, so that a centre has several signatures, all pairs."""
+    last, several = np.zeros((1, SLOTS), np.uint8), False
+    for b in batches:
+        n = b.num_rows
+        if not n:
+            continue
+        sigs = np.frombuffer(b"".join(b.column("value").to_pylist()), np.uint8).reshape(n, SLOTS)
+        head = np.asarray(b.column("b").is_null())
+        at = np.maximum.accumulate(np.where(head, np.arange(n), -1))
+        second = head & np.append(False, head[:-1]) & np.append(False, (b.column("a").to_numpy()[1:] == b.column("a").to_numpy()[:-1]) & (b.column("salt").to_numpy()[1:] == b.column("salt").to_numpy()[:-1]))
+        many = np.where(at >= 0, second[at], several)
+        centre = np.concatenate([sigs, last])[at]
+        ok = pa.array(~head & (many | alike(centre, sigs)))
+        last, several = centre[-1:], bool(many[-1])
+        yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], ["a", "b"])
+
+
+def shared_keys(rows: DataFrame) -> DataFrame:
+    """The rows (k, rep, n) whose key several texts have."""
+    shared = rows.groupBy("k").agg(F.min("rep").alias("low"), F.max("rep").alias("top")).where("low < top").select("k")
+    return rows.join(shared, "k").select("k", "rep", "n")
 
 
 def members(reps: DataFrame) -> DataFrame:
-    """Rows (k, rep) of the keys that several texts share, from rows (rep, n, keys)."""
+    """Rows (k, rep, n) of the sketches that several texts share, from rows (rep, n, keys)."""
     # Classes of length a factor 1.5 wide; odd sketches have them half a class off, so near lengths meet somewhere.
     log = F.log(F.col("n").cast("double")) / F.log(F.lit(1.5))
     keys = F.transform("keys", lambda k, t: F.xxhash64(k, t, F.floor(log + F.when(t % 2 == 1, 0.5).otherwise(0.0))))
-    rows = reps.where("keys IS NOT NULL").select("rep", F.explode(keys).alias("k"))
-    shared = rows.groupBy("k").agg(F.min("rep").alias("low"), F.max("rep").alias("top")).where("low < top").select("k")
-    return rows.join(shared, "k").select("k", "rep")
+    return shared_keys(reps.where("keys IS NOT NULL").select(F.explode(keys).alias("k"), "rep", "n"))
 
 
 def centred(rest: DataFrame, more: int) -> DataFrame:
-    """Rows (k, rep, c) of the keys with several components ``c``, and whether each is a centre: the first of its key, and about ``more`` others."""
+    """Rows (k, rep, n, c) of the keys with several components ``c``, and whether each is a centre: the first of its key, and about ``more`` others."""
     keys = rest.groupBy("k").agg(F.count("*").alias("size"), F.min("rep").alias("first"), F.min("c").alias("low"), F.max("c").alias("top"))
     centre = (F.col("rep") == F.col("first")) | (F.pmod(F.xxhash64("rep"), F.col("size")) < more)
-    return rest.join(keys.where("low < top"), "k").select("k", "rep", "c", centre.alias("centre"))
+    return rest.join(keys.where("low < top"), "k").select("k", "rep", "n", "c", centre.alias("centre"))
 
 
 def candidates(rows: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of a centre and a member of another component."""
-    centres = rows.where("centre").select("k", F.col("rep").alias("x"), F.col("c").alias("cx"))
+    """Distinct pairs (a, b), a < b, of a centre and a member of another component whose lengths allow the threshold."""
+    centres = rows.where("centre").select("k", F.col("rep").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"))
     met = rows.join(centres, "k").where("c != cx AND (NOT centre OR x < rep)")
+    met = met.where(F.least("n", "nx") >= SIMILARITY * F.greatest("n", "nx"))
     return met.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
 
 
-def near_pairs(reps: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def near_pairs(reps: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The near pairs (a, b) found, and (node, label) of their components."""
-    rest, more, texts, met, near = members(reps).withColumn("c", F.col("rep")), 0, None, None, None
+    rest, more, met, near = members(reps).withColumn("c", F.col("rep")), 0, None, None
+    sigs = reps.select(F.col("rep").alias("id"), F.col("sig").alias("value"))
     while True:
         rows = saved(centred(rest, more))
         pairs = candidates(rows)
         pairs = saved(pairs if met is None else pairs.join(met, ["a", "b"], "left_anti"))
-        if texts is None:  # of all members, for in the first round each meets its centre
-            ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-            texts = saved(joined(doc_rows(docs), saved(ids), "doc_id", "inner").distinct())
-        new = saved(verified(pairs, texts))
+        likely = saved(starred(pairs, sigs).mapInArrow(_sieve, "a long, b long"))
+        ids = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        new = saved(starred(likely, texts.join(ids, "id", "left_semi")).mapInArrow(_verify, "a long, b long").distinct())
         met, near = (pairs, new) if met is None else (met.union(pairs), near.union(new))
         label = components(near)
-        rest = rows.where("NOT centre").select("k", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left")
-        rest = rest.select("k", "rep", F.coalesce("label", "rep").alias("c"))
+        known = label.withColumnRenamed("node", "rep")
+        rest = rows.where("NOT centre").select("k", "rep", "n").join(known, "rep", "left").select("k", "rep", "n", F.coalesce("label", "rep").alias("c"))
         if not centred(rest, 0).limit(1).count():
             return near, label
-        more = 4 * more + 3
+        more = 16 * more + 15
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, class_id (smallest id of the class), n_links (near texts among those it was compared with)."""
     rows = doc_rows(docs).withColumn("h", F.xxhash64("text", F.length("text"), F.crc32("text")))
-    sigs = saved(rows.mapInArrow(_sketch_rows, "doc_id long, h long, n long, keys array<long>"))
-    reps = saved(sigs.where("doc_id IS NOT NULL").groupBy("h").agg(F.min(F.struct("doc_id", "n", "keys")).alias("r")).select("h", F.col("r.doc_id").alias("rep"), "r.n", "r.keys"))
-    near, label = near_pairs(reps, docs)
+    sigs = saved(rows.mapInArrow(_sketch_rows, _SKETCHED))
+    reps = saved(sigs.where("doc_id IS NOT NULL").groupBy("h").agg(F.min(F.struct("doc_id", "n", "keys", "sig")).alias("r")).select("h", F.col("r.doc_id").alias("rep"), "r.n", "r.keys", "r.sig"))
+    texts = doc_rows(docs).select(F.col("doc_id").alias("id"), F.col("text").alias("value")).distinct()
+    near, label = near_pairs(reps, texts)
     links = near.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     found = label.withColumnRenamed("node", "rep").join(links, "rep", "left")
     member = sigs.select("doc_id", "h").join(reps.select("h", "rep"), "h", "left")

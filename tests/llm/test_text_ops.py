@@ -116,11 +116,27 @@ def test_alignment_is_the_longest_common_subsequence():
 def test_sketches_of_blocks_are_those_of_the_whole():
     h = near_dedup.shingles(near_dedup.word_hashes(" ".join(words(random.Random(1), 900)), near_dedup.WordHash()))
     v = near_dedup._mix(h[None, :] ^ near_dedup._SEEDS)
-    at = np.sort(np.argsort(v, axis=1)[:, :2], axis=1)
-    want = near_dedup._mix(near_dedup._mix(near_dedup._SEEDS.ravel() + h[at[:, 0]]) + h[at[:, 1]])
+    at, want = np.sort(np.argsort(v, axis=1)[:, : near_dedup.PICKS], axis=1), near_dedup._SEEDS.ravel()
+    for j in range(near_dedup.PICKS):
+        want = near_dedup._mix(want + h[at[:, j]])
     assert (near_dedup.sketches(h) == want).all() and (near_dedup.sketches(h, 100) == want).all()
 
 
+def test_signatures_give_up_no_near_pair_and_most_others():
+    t, r = near_dedup.WordHash(), random.Random(2)
+    sig = lambda w: np.frombuffer(near_dedup.signature(near_dedup.word_hashes(" ".join(w), t)), np.uint8)
+    near, far, base = [], [], []
+    for _ in range(300):
+        w = words(r, 150, 3000)
+        v = list(w)
+        for i in r.sample(range(150), 30):
+            v[i] = f"n{r.random()}"
+        base.append(sig(w))
+        near.append(sig(v))
+        far.append(sig(w[:50] + words(r, 100, 3000)))
+    assert near_dedup.alike(np.array(base), np.array(near)).all() and near_dedup.alike(np.array(base), np.array(far)).mean() < 0.05
+
+
 def brute_suffix(rows, size=50):
     first, last = {}, 1 << 63
     for d, t in rows:
