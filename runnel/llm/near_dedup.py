@@ -11,7 +11,7 @@ of the shingles in common) shares one with probability 0.97.
 Texts that share a sketch and a class of length are candidates.  They are
 compared in rounds of stars: in the first, the smallest id of each shared
 sketch meets the others of it.  Then the components so far are known, and in
-each sketch that still has several of them the next centres (sixteen times as
+each sketch that still has several of them the next centres (64 times as
 many a round) meet all members of other components; a centre that has met them
 leaves.  A sketch is done when its members are in one component or all were
 centres, so two candidates are either compared or in one class already,
@@ -284,7 +284,7 @@ def near_pairs(reps: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]
         rest = rows.where("NOT centre").select("k", "rep", "n").join(known, "rep", "left").select("k", "rep", "n", F.coalesce("label", "rep").alias("c"))
         if not centred(rest, 0).limit(1).count():
             return near, label
-        more = 16 * more + 15
+        more = 64 * more + 63
 
 
 def classes(docs: DataFrame) -> DataFrame:

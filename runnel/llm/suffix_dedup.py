@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_rows, joined, pieces, saved
+from .common import doc_rows, dropped, joined, pieces, saved
 
 LEN, GRAM, SHALLOW, PIECE = 50, 16, 16, 1 << 21
 GRAMS_HELD, STRETCHES_HELD, SPLIT, CHUNK = 1 << 20, 1 << 16, 1_000, 12_000
@@ -322,8 +322,8 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*map(pa.array, cols), text.cast(pa.binary())], ["gram", "sub", "doc_id", "h", "begin", "bytes"])
 
 
-def spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, begin, end): byte ranges to remove, overlapping, of rows (doc_id, h, text)."""
+def ranges(docs: DataFrame) -> DataFrame:
+    """One row per (__id, __h) with __r, the list of byte ranges to remove, overlapping, of rows (doc_id, h, text)."""
     spark = docs.sparkSession
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     sizes = saved(docs.select("doc_id", "h", F.octet_length("text").cast("long").alias("n")).distinct())
@@ -335,6 +335,7 @@ def spans(docs: DataFrame) -> DataFrame:
     by_doc = shared.groupBy("doc_id").agg(F.collect_set("gram").alias("grams"))  # no more than a document has
     found = rest.join(by_doc.hint("shuffle_hash"), "doc_id").select("doc_id", "h", "text", "grams")
     stretches = saved(found.mapInArrow(_stretches, "gram long, doc_id long, h long, begin long, end long, bytes binary"))
+    dropped(shared)
     settled = stretches.where("bytes IS NULL").select("doc_id", "h", "begin", "end")
     todo = stretches.where("bytes IS NOT NULL").select("gram", "doc_id", "h", "begin", "bytes")
     counts = todo.groupBy("gram").agg(F.ceil(F.count("*") / SPLIT).alias("parts"))
@@ -344,7 +345,10 @@ def spans(docs: DataFrame) -> DataFrame:
     groups = rare.union(split).withColumn("bucket", F.pmod(F.xxhash64("gram", "sub"), F.lit(buckets)))
     met = groups.groupBy("bucket").applyInArrow(_sorted, "doc_id long, h long, begin long, end long")
     whole = copies.where(F.col("n") >= LEN).select("doc_id", "h", F.lit(0).cast("long").alias("begin"), F.col("n").alias("end"))
-    return settled.union(met).union(whole)
+    spans = settled.union(met).union(whole)
+    out = saved(spans.groupBy(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).agg(F.collect_set(F.struct("begin", "end")).alias("__r")))
+    dropped(stretches, common, copies, sizes)
+    return out
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -371,12 +375,6 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return doc_rows(docs).select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), F.xxhash64("text", F.length("text"), F.crc32("text")).alias("h"), "text")
 
 
-def _ranges(docs: DataFrame) -> DataFrame:
-    """One row per (__id, __h) with the list of its ranges."""
-    s = spans(_keyed(docs))
-    return saved(s.groupBy(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).agg(F.collect_set(F.struct("begin", "end")).alias("__r")))
-
-
 def digest(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
 
@@ -390,7 +388,7 @@ def digest(docs: DataFrame) -> DataFrame:
             kinds = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, (_, k) in enumerate(kinds)], [n for n, _ in kinds])
 
-    r = _ranges(docs).hint("shuffle_hash")  # as many as there are repeats, so never broadcast
+    r = ranges(_keyed(docs)).hint("shuffle_hash")  # as many as there are repeats, so never broadcast
     rows = _keyed(docs)
     rows = rows.join(r, (rows["doc_id"] == r["__id"]) & (rows["h"] == r["__h"]), "left").select("doc_id", "text", "__r")
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
@@ -411,7 +409,7 @@ def cut_texts(docs: DataFrame) -> DataFrame:
             cols = [pa.array(new[c], b.schema.field(c).type) if c in new else b.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    r = _ranges(docs).hint("shuffle_hash")
+    r = ranges(_keyed(docs)).hint("shuffle_hash")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.withColumns({"__i": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "__x": F.xxhash64(text, F.length(text), F.crc32(text))})
     rows = rows.join(r, (F.col("__i") == F.col("__id")) & (F.col("__x") == F.col("__h")), "left")
