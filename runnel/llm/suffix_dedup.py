@@ -17,8 +17,8 @@ starts in a document with a smaller id.
 4. Each group sorts the 50-byte suffixes of its stretches: multikey quicksort on
    eight-byte characters to a shallow depth, then blind tries for what still
    has a common prefix.  Equal suffixes meet, and those of larger ids go.
-   A gram of many stretches is split into subgroups of about ``SPLIT`` by a hash
-   of its suffixes, which go through the same sort.
+   A gram of more than ``SPLIT`` stretches is split into subgroups of about as
+   many suffixes by their hash, which go through the same sort.
 
 The runs are merged per document and cut from the bytes.
 
@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from .common import doc_rows, dropped, joined, pieces, saved
 
 LEN, GRAM, SHALLOW, PIECE = 50, 16, 16, 1 << 21
-GRAMS_HELD, STRETCHES_HELD, SPLIT, CHUNK = 1 << 20, 1 << 16, 1_000, 12_000
+GRAMS_HELD, STRETCHES_HELD, SPLIT, CHUNK = 1 << 20, 1 << 16, 4_000, 12_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _LAST = (1 << 63) - 1
 
@@ -338,8 +338,8 @@ def ranges(docs: DataFrame) -> DataFrame:
     dropped(shared)
     settled = stretches.where("bytes IS NULL").select("doc_id", "h", "begin", "end")
     todo = stretches.where("bytes IS NOT NULL").select("gram", "doc_id", "h", "begin", "bytes")
-    counts = todo.groupBy("gram").agg(F.ceil(F.count("*") / SPLIT).alias("parts"))
-    common = saved(counts.where("parts > 1"))
+    counts = todo.groupBy("gram").agg(F.ceil(F.count("*") * 20 / SPLIT).alias("parts"))  # a stretch has about 20 suffixes
+    common = saved(counts.where("parts > 20"))
     rare = joined(todo, common, "gram", "left_anti").select("gram", F.lit(0).cast("long").alias("sub"), "doc_id", "h", "begin", "bytes")
     split = joined(todo, common, "gram", "inner").select("gram", "parts", "doc_id", "h", "begin", "bytes").mapInArrow(_split, _SPLIT)
     groups = rare.union(split).withColumn("bucket", F.pmod(F.xxhash64("gram", "sub"), F.lit(buckets)))
