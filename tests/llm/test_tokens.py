@@ -128,37 +128,61 @@ def test_pages(spark):
         assert out[i].text == f"Head & {i} One two three bold. Second <x> {'y' * i}".strip() and out[i].n_chars == len(out[i].text)
     assert out[6].text == out[7].text == "" and out[8].text == "plain text"
     assert wrappers.extract(df).count() == len(rows) and wrappers.extract(df.where("false")).count() == 0
-    w = {x.host: x.expression for x in wrappers.wrappers(df).collect()}
-    assert "<article>" in w["h0.example"]
+    w = {x.host: x.expression for x in wrappers.wrappers(wrappers.parsed(df)).collect()}
+    assert "<article> <h1> # </h1> (<p> # </p>)+ <aside!> # </aside>" in w["h0.example"]
+
+
+def texts(*pages):
+    """Main texts of pages of one host, and its expression."""
+    slots = [wrappers.Reader(p).slots for p in pages]
+    whole = None
+    for s in slots:
+        whole = wrappers.merge(whole, wrappers.of_page(s)) if whole else wrappers.of_page(s)
+    kinds = wrappers.by_path(wrappers.chosen(whole))
+    return [wrappers.text_of([p for p, _, _ in s], [t for _, t, _ in s], kinds) for s in slots], wrappers.expression(whole)
 
 
 def test_wrappers_of_a_host_with_two_templates(spark):
     rows = [(i, u, f"<body><nav>Menu</nav><div>Site</div><article><p>Story {i}</p></article><div>By {i}</div></body>") for i, u in enumerate(["http://h/a", "http://h/b", None])]
     rows += [(i, u, f"<body><nav>Menu</nav><div>Old {i}</div><section>Fixed</section></body>") for i, u in enumerate(["http://h/c", "http://h/d", None, "http://["], 3)]
     out = {x.page_id: x.text for x in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert out == {i: f"Story {i}" if i < 3 else f"Old {i}" for i in range(7)}
-
-
-def test_folding_and_alignment():
-    assert wrappers.fold(["<li>", "#", "</li>"] * 3) == [["+", "<li>", "#", "</li>"]]
-    assert wrappers.expression(wrappers.align(["a", "b", "c"], ["a", "c", "d"])) == "a (b)? c (d)?"
-
-
-def test_pipeline(spark):
-    import corpus_pipeline
-    from runnel.llm import near_dedup, quality_rules, suffix_dedup, toxicity
-    from runnel.llm.common import read
-
-    sf = "/root/testdata/sf0.001"
-    docs = read(spark, sf, "documents")
-    kept = toxicity.keep_clean(docs, toxicity.fit(docs, read(spark, sf, "labels")))
-    scored = toxicity.score(docs, toxicity.fit(docs, read(spark, sf, "labels")))
-    assert {x.doc_id for x in kept.collect()} == {x.doc_id for x in scored.where("predicted = 0").collect()}
-    good = quality_rules.keep_good(kept)
-    one = near_dedup.keep_one(good)
-    cut = suffix_dedup.cut_texts(one)
-    assert kept.columns == good.columns == one.columns == cut.columns == docs.columns
-    out = corpus_pipeline.run(spark, sf).collect()
-    want = packing.token_lengths(cut, tokenizer_path())
-    assert sorted((x.doc_id, x.n_tokens) for x in out) == sorted((x.doc_id, x.n_tokens) for x in want.collect())
-    assert "pipeline" not in QUERIES
+    assert out == {i: f"Story {i}" if i < 3 else f"Old {i} Fixed" for i in range(7)}
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<article><p>one</p><svg viewBox='0'/><p>two</p></article>", "one two"),
+        ("<article><p>one</p><button>x<p>two</p></article>", "one two"),
+        ("<div class='has-sidebar'><article><p>a b</p></article></div><div class='sidebar'>no</div>", "a b"),
+        ("<div class='no-header'><article><p>a b</p></article></div>", "a b"),
+        ("<div class='sidebar-layout'><article>a</article></div>", "a"),
+        ("<article><div class='entry-header'><h1>Title</h1></div><p>x</p></article>", "Title x"),
+        ("<main><p>x</p><article class='comment'>bad</article></main>", "x"),
+        ("<article><p>hi <span class='ad'>BUY <span>q</span> z</span>  there</p></article>", "hi there"),
+        ("<article><p>let <math>x</math> be</p></article>", "let x be"),
+        ("<body><h1>t</h1><p>const</p></body>", "t const"),
+        ("<article>" + "<div>" * 500 + "deep" + "</div>" * 500 + "<p>end</article>", "deep end"),
+        ("<article><p>" + "long " * 100_000 + "</article><footer>f</footer>", ("long " * 100_000).strip()),
+    ],
+)
+def test_pages_of_a_template(page, text):
+    assert texts(page, page, page)[0] == [text] * 3
+
+
+def test_the_expression_decides_what_is_template():
+    page = "<body><article><h1>t%d</h1><div class=xyz>Share this</div><p>text %d</p></article></body>"
+    one, _ = texts(page % (1, 1))
+    many, e = texts(*[page % (i, i) for i in range(6)])
+    assert one == ["t1 Share this text 1"] and many == [f"t{i} text {i}" for i in range(6)]
+    assert e == "<body> <article> <h1> # </h1> <div.xyz> # </div> <p> # </p> </article> </body>"
+    same, _ = texts(*["<body><article><div><p>all of it</p></div></article></body>"] * 6)
+    assert same == ["all of it"] * 6
+
+
+def test_alignment_and_its_bound():
+    e = texts("<p>a<ul><li>b<li>c</ul>", "<p>a<h2>x</h2><p>b")[1]
+    assert e == "(<p> # </p>)+ (<ul> (<li> # </li>)+ </ul>)? (<h2> # </h2>)?"
+    pages = [f"<body><div class=c{chr(97 + i % 26)}{chr(97 + i // 26)}><p>t{i}</p></div></body>" for i in range(200)]
+    got, e = texts(*pages)
+    assert got == [f"t{i}" for i in range(200)] and e.count("<div") <= wrappers.MOST + 1
