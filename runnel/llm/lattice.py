@@ -3,7 +3,9 @@
 Texts are cut into words where no piece reaches: before a run of spaces and
 around line feeds.  Only the different words of the corpus are encoded:
 
-1. Each task counts its words; the counts are summed by word.
+1. Each task counts its words; the counts are summed by word.  Counts only choose
+   what is encoded beforehand (see 4), so a word that a task sees once among
+   150,000 different ones is not counted.
 2. The lattice: every substring of a word of up to the longest piece's length is
    exploded and equi-joined to the piece table (broadcast: its size is the
    vocabulary's).  Its edges are grouped by word.
@@ -18,8 +20,9 @@ around line feeds.  Only the different words of the corpus are encoded:
    encodes the other words of its texts through the same lattice and fold in
    arrays (``Lattice``); their joins to a table would move more than the texts.
 
-A word of more than ``LONG`` characters, such as a text without spaces, has no
-lattice; its ids come from the library in linear memory.
+A word of more than ``LONG`` = 60 characters, such as a text without spaces, has
+no lattice, whose cuts are bits of a long; its ids come from the library in
+linear memory.
 
 Defined results: a null or empty text has no ids; characters without a piece
 become byte pieces (or the unknown id, if the model has none); repeated rows are
@@ -101,14 +104,15 @@ def words_of(text: str, pattern: re.Pattern) -> list[str]:
 
 
 def corpus_words(docs: DataFrame, model: Model) -> DataFrame:
-    """(word, n): the different words of all texts."""
+    """(word, n): words that are common in the texts, with their counts where a task sees them again."""
     pattern = word_pattern(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
 
         def rows() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+            again = [(w, n) for w, n in seen.items() if n > 1]
+            out = pa.RecordBatch.from_arrays([pa.array([w for w, _ in again], pa.string()), pa.array([n for _, n in again], pa.int64())], ["word", "n"])
             seen.clear()
             return out
 
@@ -234,6 +238,11 @@ class Lattice:
         slots[h >> np.uint64(44)] = True
         self.slots = slots
         self.ids = {p: i for p, i, _ in model.pieces}
+        self.single = np.full(0x110000, -1, np.int32)
+        for p, i, _ in model.pieces:
+            if len(p) == 1:
+                self.single[ord(p)] = i
+        self.rank = np.unique(self.cost, return_inverse=True)[1].astype(np.uint64)
 
     def _step(self, h: np.ndarray, c: np.ndarray) -> np.ndarray:
         x = (h ^ (c.astype(np.uint64) + np.uint64(1))) * self._P
@@ -258,18 +267,20 @@ class Lattice:
             found.append((place[same], np.full(same.sum(), k + 1), row[same]))
         return tuple(np.concatenate([f[i] for f in found]) for i in range(3))
 
-    def cuts(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Per word its cuts as bits (see ``merges``), and its length."""
+    def merged(self, words: list[str]) -> tuple[np.ndarray, ...]:
+        """Per word its cuts as bits (see ``merges``) and its length; of all characters the code, the word, the place, and the piece that starts there."""
         size = np.array([len(w) for w in words], np.int64)
         flat = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
         start = np.cumsum(size) - size
         owner = np.repeat(np.arange(len(words)), size)
         offset = np.arange(len(flat)) - start[owner]
+        piece = self.single[flat]
         place, k, row = self.edges(flat, size[owner] - offset)
         one = np.uint64(1)
-        a, b = offset[place].astype(np.uint64), (offset[place] + k).astype(np.uint64)
-        order = np.lexsort((a, self.cost[row], owner[place]))
-        a, b, word = a[order], b[order], owner[place][order]
+        key = owner[place].astype(np.uint64) << np.uint64(32) | self.rank[row] << np.uint64(8) | offset[place].astype(np.uint64)
+        order = np.argsort(key)
+        place, row, word = place[order], row[order], owner[place[order]]
+        a, b = offset[place].astype(np.uint64), (offset[place] + k[order]).astype(np.uint64)
         ends, inner = (one << a) | (one << b), ((one << b) - one) & ~((one << (a + one)) - one)
         cuts = (one << (size + 1).astype(np.uint64)) - one
         while len(word):
@@ -278,30 +289,49 @@ class Lattice:
                 break
             best = ready[np.append(True, word[ready[1:]] != word[ready[:-1]])]
             cuts[word[best]] &= ~inner[best]
+            piece[place[best]] = self.id[row[best]]
             moved = np.zeros(len(words), bool)
             moved[word[best]] = True
             now = cuts[word]
             alive = moved[word] & ((now & ends) == ends) & ((now & inner) != 0)  # words that did not move are done
-            word, ends, inner = word[alive], ends[alive], inner[alive]
-        return cuts, size
+            word, ends, inner, place, row = word[alive], ends[alive], inner[alive], place[alive], row[alive]
+        return cuts, size, owner, offset, piece
 
-    def encode(self, words: list[str]) -> list[list[int]]:
-        get, out = self.ids.get, []
-        for w, c, n in zip(words, *map(np.ndarray.tolist, self.cuts(words)), strict=True):
-            ids, a = [], 0
-            for b in range(1, n + 1):
-                if c >> b & 1:
-                    i = get(w[a:b])
-                    if i is not None:
-                        ids.append(i)
-                    elif self.model.bytes_:
-                        ids.extend(self.model.bytes_[x] for x in w[a:b].encode())
-                    elif not ids or ids[-1] != self.model.unknown:
-                        ids.append(self.model.unknown)
-                    a = b
-            out.append(ids)
+    def cuts(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return self.merged(words)[:2]
+
+    def packed(self, words: list[str]) -> list[bytes]:
+        """The ids of each word as 32-bit integers."""
+        if not words:
+            return []
+        cuts, size, owner, offset, piece = self.merged(words)
+        starts = (cuts[owner] >> offset.astype(np.uint64)) & np.uint64(1) == 1
+        ids, of = piece[starts], owner[starts]
+        ends = 4 * np.cumsum(np.bincount(of, minlength=len(words)))
+        raw = ids.tobytes()
+        out = [raw[x:y] for x, y in zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True)]
+        for i in np.unique(of[ids < 0]).tolist():
+            out[i] = np.array(self._odd(words[i], int(cuts[i]), int(size[i])), np.int32).tobytes()
         return out
 
+    def _odd(self, w: str, c: int, n: int) -> list[int]:
+        """The ids of a word with characters that have no piece."""
+        ids, a = [], 0
+        for b in range(1, n + 1):
+            if c >> b & 1:
+                i = self.ids.get(w[a:b])
+                if i is not None:
+                    ids.append(i)
+                elif self.model.bytes_:
+                    ids.extend(self.model.bytes_[x] for x in w[a:b].encode())
+                elif not ids or ids[-1] != self.model.unknown:
+                    ids.append(self.model.unknown)
+                a = b
+        return ids
+
+    def encode(self, words: list[str]) -> list[list[int]]:
+        return [np.frombuffer(x, np.int32).tolist() for x in self.packed(words)]
+
 
 def _arrays(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,10 +405,11 @@ def _lists(parts: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(parts), np.int32)))
 
 
-class Rest(dict):
-    """The ids of words outside the broadcast table, as bytes; forgets all when full."""
+class Rest:
+    """The ids of words outside the broadcast table, as bytes.  When ``new`` is full it
+    becomes ``old``; words that are met again come back from there."""
 
-    LIMIT = 500_000
+    LIMIT = 300_000
 
     def __init__(self, path: str) -> None:
         import sentencepiece
@@ -386,18 +417,29 @@ class Rest(dict):
         self.net = Lattice(load(path))
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         self.skip = len(self.library.encode("\n"))
-
-    def learn(self, words: set[str]) -> None:
-        if len(self) > self.LIMIT:
-            self.clear()
-        new = [w for w in words if w not in self]
-        short = [w for w in new if len(w) <= LONG]
-        for i in range(0, len(short), 4_000):
-            for w, ids in zip(short[i : i + 4_000], self.net.encode(short[i : i + 4_000]), strict=True):
-                self[w] = np.array(ids, np.int32).tobytes()
-        for w in new:
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of ``words``."""
+        if len(self.new) > self.LIMIT:
+            self.old, self.new = self.new, {}
+        new, old = self.new, self.old
+        unknown = []
+        for w in words:
+            if w not in new:
+                x = old.get(w)
+                if x is None:
+                    unknown.append(w)
+                else:
+                    new[w] = x
+        short = [w for w in unknown if len(w) <= LONG]
+        for i in range(0, len(short), 16_000):
+            new.update(zip(short[i : i + 16_000], self.net.packed(short[i : i + 16_000]), strict=True))
+        for w in unknown:
             if len(w) > LONG:
-                self[w] = np.array(self.library.encode("\n" + w)[self.skip :], np.int32).tobytes()
+                new[w] = np.array(self.library.encode("\n" + w)[self.skip :], np.int32).tobytes()
+        return new
 
 
 @functools.lru_cache(maxsize=1)
@@ -418,13 +460,13 @@ def encode(docs: DataFrame, path: str, frequent: int = FREQUENT, digest: bool =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rest = table.value, _rest(path)
         model = load(path)
-        for b in pieces(batches, "text"):
+        for b in pieces(batches, "text", chars=1 << 20):
             words = [words_of(t, pattern) for t in b.column("text").to_pylist()]
             parts = [list(map(known.get, w)) for w in words]
             odd = [k for k, p in enumerate(parts) if None in p]
-            rest.learn({w for k in odd for w, p in zip(words[k], parts[k], strict=True) if p is None})
+            learnt = rest.learn({w for k in odd for w, p in zip(words[k], parts[k], strict=True) if p is None})
             for k in odd:
-                parts[k] = [rest[w] if p is None else p for w, p in zip(words[k], parts[k], strict=True)]
+                parts[k] = [learnt[w] if p is None else p for w, p in zip(words[k], parts[k], strict=True)]
             out = list(map(b"".join, parts))
             columns, names = [b.column("doc_id"), _lists(out)], ["doc_id", "ids"]
             if digest:
