@@ -5,15 +5,18 @@ from the data: per (lang, source) and per lang, each metric has a mergeable
 quantile sketch, namely counts of values rounded down to two significant digits
 (relative error under ten per cent).  Counts add up in any order, so the sketch
 is merged by partial aggregation, a hot source included, and is the same
-however often a task is rerun.  A document is rejected when a metric lies
-beyond ``median -+ max(6 * spread, slack)``, with the spread taken on the side
-of the median away from the outliers; that holds while under half of a group
-is junk.  Groups of fewer than ``MIN_GROUP`` documents use the sketch of their
-language.  The thresholds are joined back to the documents.
+however often a task is rerun.  The limit of a metric lies ``factor`` times as
+far from the median as the quantile of its ``level``, and ``ROUNDING`` beyond
+(two steps of the sketch).  Levels are as far out as the share of junk allows:
+quartiles for what junk shifts, the last hundredth for what good documents have
+in some share, such as repeated lines.  A group's limit and that of its language
+are weighed by their documents, the language counting as ``PRIOR`` of them, so a
+small group leans on its language.  The limits are joined back to the documents.
 
 Defined results: a null or empty text has no words and fails the base rules; a
 null language or source is a group of its own; repeated rows count each; an
-empty table gives an empty result; other columns are not touched.
+empty table gives an empty result; other columns are not touched; texts are read
+whole, however long.
 """
 
 from __future__ import annotations
@@ -23,16 +26,17 @@ from pyspark.sql import functions as F
 
 from .common import joined, saved, text_words
 
-MIN_GROUP = 50
-#: Metric: (which tail is bad, least distance from the median). All are integers.
+PRIOR, ROUNDING = 200, 20
+#: Metric: {side: (level of the quantile in per cent, factor)}. All are integers.
 METRICS = {
-    "symbol_pm": ("high", 200),
-    "dup_line_pm": ("high", 400),
-    "repeat_pm": ("high", 200),
-    "upper_pm": ("high", 200),
-    "word_len_pc": ("both", 400),
-    "distinct_pm": ("low", 250),
+    "symbol_pm": {"hi": (75, 6)},
+    "dup_line_pm": {"hi": (99, 2)},
+    "repeat_pm": {"hi": (99, 2)},
+    "upper_pm": {"hi": (90, 8)},
+    "word_len_pc": {"hi": (75, 8), "lo": (25, 8)},
+    "distinct_pm": {"lo": (25, 6)},
 }
+LIMITS = [(side, k, *v) for k, sides in METRICS.items() for side, v in sides.items()]
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 
 
@@ -131,30 +135,26 @@ def thresholds(m: DataFrame) -> DataFrame:
         )
         return found["v"]
 
-    q = q.select("lang", "source", "k", "n", quantile(25).alias("q1"), quantile(50).alias("q2"), quantile(75).alias("q3"))
-    slack = F.create_map(*[x for k, (_, s) in METRICS.items() for x in (F.lit(k), F.lit(s).cast("long"))])[F.col("k")]
-    tail = F.create_map(*[x for k, (t, _) in METRICS.items() for x in (F.lit(k), F.lit(t))])[F.col("k")]
-    hi = F.when(tail != "low", F.col("q2") + F.greatest(6 * (F.col("q2") - F.col("q1")), slack))
-    lo = F.when(tail != "high", F.col("q2") - F.greatest(6 * (F.col("q3") - F.col("q2")), slack))
-    wide = q.groupBy("lang", "source").agg(
-        F.max("n").alias("n"),
-        *[F.max(F.when(F.col("k") == k, hi)).alias(f"hi_{k}") for k in METRICS],
-        *[F.max(F.when(F.col("k") == k, lo)).alias(f"lo_{k}") for k in METRICS],
-    )
-    limits = [f"{e}_{k}" for e in ("hi", "lo") for k in METRICS]
-    whole = wide.where("source = '\u0001'").select("lang", *[F.col(c).alias(f"l_{c}") for c in limits])
-    own = wide.where("source != '\u0001'")
-    both = joined(own, whole, "lang", "inner")
-    return both.select("lang", "source", *[F.when(F.col("n") >= MIN_GROUP, F.col(c)).otherwise(F.col(f"l_{c}")).alias(c) for c in limits])
+    levels = sorted({50} | {level for _, _, level, _ in LIMITS})
+    q = q.select("lang", "source", "k", "n", *[quantile(x).alias(f"q{x}") for x in levels])
+
+    def limit(side: str, level: int, factor: int) -> Column:
+        beyond = factor * (F.col(f"q{level}") - F.col("q50"))
+        return F.col("q50") + beyond + (ROUNDING if side == "hi" else -ROUNDING)
+
+    wide = q.groupBy("lang", "source").agg(F.max("n").alias("n"), *[F.max(F.when(F.col("k") == k, limit(side, level, factor))).alias(f"{side}_{k}") for side, k, level, factor in LIMITS])
+    names = [f"{side}_{k}" for side, k, _, _ in LIMITS]
+    wide = saved(wide)  # a row a group
+    whole = saved(wide.where("source = '\u0001'").select("lang", *[F.col(c).alias(f"l_{c}") for c in names]))
+    both = joined(wide.where("source != '\u0001'"), whole, "lang", "inner")
+    blend = lambda c: F.floor((F.col("n") * F.col(c) + PRIOR * F.col(f"l_{c}")) / (F.col("n") + PRIOR)).cast("long")
+    return both.select("lang", "source", *[blend(c).alias(c) for c in names])
 
 
 def _within(q) -> Column:
     ok = F.lit(True)
-    for k, (t, _) in METRICS.items():
-        if t != "low":
-            ok = ok & (q(k) <= F.col(f"hi_{k}"))
-        if t != "high":
-            ok = ok & (q(k) >= F.col(f"lo_{k}"))
+    for side, k, _, _ in LIMITS:
+        ok = ok & ((q(k) <= F.col(f"hi_{k}")) if side == "hi" else (q(k) >= F.col(f"lo_{k}")))
     return ok
 
 
@@ -169,15 +169,15 @@ def judge(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, all columns as they were.
 
-    The texts are read twice (for the sketches, then for the verdicts) and
-    never shuffled.
+    The metrics are computed once and saved beside the rows; texts are not shuffled.
     """
-    t = saved(thresholds(metrics(docs))).withColumnsRenamed({"lang": "__tl", "source": "__ts"})
-    # Explode of one element: no filter is pushed below it, where the metrics would be put in for each of their uses.
-    rows = with_metrics(docs).withColumn("__q", F.explode(F.array("__q"))).withColumns({"__tl": _group("lang"), "__ts": _group("source")})
-    rows = joined(rows, t, ["__tl", "__ts"])
+    rows = docs.select(F.struct("*").alias("__row"))  # so that no column clashes
+    rows = with_metrics(rows, "__row.text").withColumns({"__lang": _group("__row.lang"), "__source": _group("__row.source")})
+    rows = saved(rows)
+    m = rows.select(F.col("__lang").alias("lang"), F.col("__source").alias("source"), "__q.*")
+    t = saved(thresholds(m).withColumnsRenamed({"lang": "__lang", "source": "__source"}))
     q = F.col("__q")
-    return rows.where(~q["base_failed"] & F.coalesce(_within(lambda k: q[k]), F.lit(True))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return joined(rows, t, ["__lang", "__source"]).where(~q["base_failed"] & F.coalesce(_within(lambda k: q[k]), F.lit(True))).select("__row.*")
 
 
 def oracle_sql() -> str:
@@ -186,14 +186,14 @@ def oracle_sql() -> str:
     lines = r"list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))"
     per = lambda x, n, s: f"({x} * {s}) // greatest({n}, 1)"
     union = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS k, {k} AS v FROM m" for k in METRICS)
-    slack = " ".join(f"WHEN '{k}' THEN {s}" for k, (_, s) in METRICS.items())
+    levels = sorted({50} | {level for _, _, level, _ in LIMITS})
+    quantiles = ", ".join(f"min(v) FILTER (WHERE s >= ceil(n * {x} / 100)) AS q{x}" for x in levels)
+    fences = {side: " ".join(f"WHEN '{k}' THEN q50 + {f} * (q{x} - q50) {'+' if side == 'hi' else '-'} {ROUNDING}" for e, k, x, f in LIMITS if e == side) for side in ("hi", "lo")}
+    blend = lambda c: f"CAST(floor((a.n * a.{c} + {PRIOR} * b.{c}) / (a.n + {PRIOR})) AS BIGINT)"
     checks = []
-    for k, (t, _) in METRICS.items():
-        pick = lambda c, k=k: f"(SELECT {c} FROM lim WHERE lim.lang = m.lang AND lim.source = m.source AND lim.k = '{k}')"
-        if t != "low":
-            checks.append(f"{k} <= {pick('hi')}")
-        if t != "high":
-            checks.append(f"{k} >= {pick('lo')}")
+    for side, k, _, _ in LIMITS:
+        pick = f"(SELECT {side} FROM lim WHERE lim.lang = m.lang AND lim.source = m.source AND lim.k = '{k}')"
+        checks.append(f"{k} {'<=' if side == 'hi' else '>='} {pick}")
     return f"""
 WITH base AS (
   SELECT doc_id, coalesce(lang, chr(1)) AS lang, coalesce(source, chr(1)) AS source, coalesce(text, '') AS text, {w} AS w, {lines} AS l,
@@ -218,12 +218,10 @@ long AS ({union}),
 sk0 AS (SELECT lang, source, k, CASE WHEN v < 100 THEN v ELSE v - v % CAST(pow(10, length(CAST(v AS VARCHAR)) - 2) AS BIGINT) END AS v FROM long),
 sk AS (SELECT lang, source, k, v, count(*) AS c FROM (SELECT * FROM sk0 UNION ALL SELECT lang, chr(2), k, v FROM sk0) GROUP BY ALL),
 cum AS (SELECT *, sum(c) OVER (PARTITION BY lang, source, k ORDER BY v) AS s, sum(c) OVER (PARTITION BY lang, source, k) AS n FROM sk),
-q AS (
-  SELECT lang, source, k, max(n) AS n, min(v) FILTER (WHERE s >= ceil(n * 0.25)) AS q1, min(v) FILTER (WHERE s >= ceil(n * 0.5)) AS q2,
-         min(v) FILTER (WHERE s >= ceil(n * 0.75)) AS q3 FROM cum GROUP BY ALL),
-fence AS (SELECT lang, source, k, n, q2 + greatest(6 * (q2 - q1), CASE k {slack} END) AS hi, q2 - greatest(6 * (q3 - q2), CASE k {slack} END) AS lo FROM q),
+q AS (SELECT lang, source, k, max(n) AS n, {quantiles} FROM cum GROUP BY ALL),
+fence AS (SELECT lang, source, k, n, CASE k {fences["hi"]} END AS hi, CASE k {fences["lo"]} END AS lo FROM q),
 lim AS (
-  SELECT a.lang, a.source, a.k, CASE WHEN a.n >= {MIN_GROUP} THEN a.hi ELSE b.hi END AS hi, CASE WHEN a.n >= {MIN_GROUP} THEN a.lo ELSE b.lo END AS lo
+  SELECT a.lang, a.source, a.k, {blend("hi")} AS hi, {blend("lo")} AS lo
   FROM fence a JOIN fence b ON a.lang = b.lang AND a.k = b.k AND b.source = chr(2) WHERE a.source <> chr(2))
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
        CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
