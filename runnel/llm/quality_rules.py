@@ -5,9 +5,10 @@ from the data: per (lang, source) and per lang, each metric has a mergeable
 quantile sketch, namely counts of values rounded down to two significant digits
 (relative error under ten per cent).  Counts add up in any order, so the sketch
 is merged by partial aggregation, a hot source included, and is the same
-however often a task is rerun.  The limit of a metric lies ``factor`` times as
-far from the median as the quantile of its ``level``, and ``ROUNDING`` beyond
-(two steps of the sketch).  Levels are as far out as the share of junk allows:
+however often a task is rerun.  They count the documents
+that pass the base rules.  The limit of a metric lies ``factor`` times as far
+from the median as the quantile of its ``level``, and ``ROUNDING`` beyond (two
+steps of the sketch).  Levels are as far out as the share of junk allows:
 quartiles for what junk shifts, the last hundredth for what good documents have
 in some share, such as repeated lines.  A group's limit and that of its language
 are weighed by their documents, the language counting as ``PRIOR`` of them, so a
@@ -115,11 +116,11 @@ def metrics(docs: DataFrame) -> DataFrame:
 
 
 def thresholds(m: DataFrame) -> DataFrame:
-    """One row per (lang, source): ``lo_<metric>`` and ``hi_<metric>``."""
+    """One row per (lang, source) with a document that passes the base rules: ``lo_<metric>`` and ``hi_<metric>``."""
     value = F.col("v")
     unit = F.pow(F.lit(10), F.length(value.cast("string")) - 2).cast("long")
     rounded = F.when(value < 100, value).otherwise(value - value % unit)
-    long = m.select("lang", "source", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(k).alias("v")) for k in METRICS])).alias("x"))
+    long = m.where("NOT base_failed").select("lang", "source", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(k).alias("v")) for k in METRICS])).alias("x"))
     sketch = long.select("lang", "source", "x.*").groupBy("lang", "source", "k", rounded.alias("v")).agg(F.count("*").alias("c"))
     # The sketch of a language is the sum of its sources' sketches.
     sketch = sketch.withColumn("source", F.explode(F.array("source", F.lit("\u0001")))).groupBy("lang", "source", "k", "v").agg(F.sum("c").alias("c"))
@@ -185,7 +186,7 @@ def oracle_sql() -> str:
     w = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
     lines = r"list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))"
     per = lambda x, n, s: f"({x} * {s}) // greatest({n}, 1)"
-    union = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS k, {k} AS v FROM m" for k in METRICS)
+    union = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS k, {k} AS v FROM m WHERE NOT base_failed" for k in METRICS)
     levels = sorted({50} | {level for _, _, level, _ in LIMITS})
     quantiles = ", ".join(f"min(v) FILTER (WHERE s >= ceil(n * {x} / 100)) AS q{x}" for x in levels)
     fences = {side: " ".join(f"WHEN '{k}' THEN q50 + {f} * (q{x} - q50) {'+' if side == 'hi' else '-'} {ROUNDING}" for e, k, x, f in LIMITS if e == side) for side in ("hi", "lo")}

@@ -2,10 +2,12 @@
 
 import hashlib
 import random
+import re
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from runnel.llm import near_dedup, quality_rules, suffix_dedup, syncmers, toxicity, weak_quality
@@ -219,17 +221,48 @@ def test_equal_suffixes():
     assert len(want) == len({x.tobytes() for x in rows})
 
 
+def syncmers_of(text):
+    """Brute force: (position, words) of the closed syncmers, by the hashes that Spark gives."""
+    spark = SparkSession.getActiveSession()
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    pairs = sorted({(w[i], w[i + 1]) for i in range(len(w) - 1)})
+    df = spark.createDataFrame(pairs or [("", "")], "a string, b string")
+    h = {(x.a, x.b): x.h for x in df.select("a", "b", F.xxhash64(F.xxhash64("a"), F.xxhash64("b")).alias("h")).collect()}
+    out = []
+    for i in range(len(w) - syncmers.K + 1):
+        inner = [h[w[j], w[j + 1]] for j in range(i, i + syncmers.K - syncmers.S + 1)]
+        if min(inner) in (inner[0], inner[-1]):
+            out.append((i, tuple(w[i : i + syncmers.K])))
+    return out or [(i, (x,)) for i, x in enumerate(w)]
+
+
+def likeness_of(a, b):
+    """Brute force: anchors with the same words at most a cell away, of both sides."""
+    x, y = ({(k, i // syncmers.CELL) for i, k in t} for t in (a, b))
+    if not x and not y:
+        return 1.0
+    near = lambda s, t: sum(any((k, c + d) in t for d in (-1, 0, 1)) for k, c in s)
+    return (near(x, y) + near(y, x)) / (len(x) + len(y))
+
+
 def test_syncmers(spark, odd, none):
-    rows = [x for x in odd_rows() if x[0] is not None]
-    rows = list(dict.fromkeys((x[0], x[1] or "") for x in rows))
-    out = {x.doc_id: x for x in syncmers.edited(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    for k, (d, t) in enumerate(rows):
-        nxt, half = rows[(k + 1) % len(rows)][1], len(t) // 2
-        edited = t[: len(t) - half] + nxt[:half]
-        assert out[d].n_chars == len(t) and out[d].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert 0 <= out[d].near_edited <= 1 and 0 <= out[d].near_next <= 1
-    assert out[0].fingerprint == out[1].fingerprint and out[0].near_next == 1.0 and out[4].fingerprint == ""
-    assert syncmers.edited(odd).count() == odd.count() and syncmers.edited(none).count() == 0
+    out = syncmers.edited(odd).collect()
+    rows = sorted(((-(1 << 63) if x.doc_id is None else x.doc_id), x.text or "") for x in odd.collect())
+    assert len(out) == len(rows) and syncmers.edited(none).count() == 0
+    anchors = {t: syncmers_of(t) for _, t in rows}
+    want = []
+    for (i, t), (_, n) in zip(rows, rows[1:] + rows[:1]):
+        e = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
+        anchors[e] = anchors.get(e) or syncmers_of(e)
+        want.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), likeness_of(anchors[t], anchors[e]), likeness_of(anchors[t], anchors[n])))
+    got = [(-(1 << 63) if x.doc_id is None else x.doc_id, x.n_chars, x.edited_sha256, x.near_edited, x.near_next) for x in out]
+    assert sorted(got) == sorted(want)
+    by_text = {}
+    for x in out:
+        t = next(t for i, t in rows if i == (-(1 << 63) if x.doc_id is None else x.doc_id) and len(t) == x.n_chars)
+        assert by_text.setdefault(t, x.fingerprint) == x.fingerprint
+        places = [int(p[8:], 16) for p in x.fingerprint.split(".") if p]
+        assert list(np.cumsum(places)) == [i for i, _ in anchors[t]]  # all anchors, in order, with their places
 
 
 def test_quality_rules(spark, odd, none):
@@ -238,6 +271,8 @@ def test_quality_rules(spark, odd, none):
     df = QUERIES["op7_quality_rules"](spark, SF)
     want = con.sql(ORACLE_SQL["op7_quality_rules"]).select(*df.columns).fetchall()
     assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, want))
+    limits = quality_rules.thresholds(quality_rules.metrics(read(spark, SF, "documents"))).toPandas()
+    assert all(limits[f"{side}_{k}"].nunique() > 1 for side, k, _, _ in quality_rules.LIMITS if k != "symbol_pm")
     rows = quality_rules.judge(odd)
     by = {x.doc_id: x for x in rows.collect()}
     assert rows.count() == odd.count() and by[4].n_words == 0 and by[4].base_failed and not by[4].kept and by[6].base_failed
