@@ -49,7 +49,8 @@ def duration(ms: Column) -> Column:
 
 
 def micros_text(ns: Column) -> Column:
-    return F.expr("cast(%s DIV 1000 AS string)" % ns) if isinstance(ns, str) else F.floor(ns / 1000).cast("string")
+    """Whole microseconds of nanoseconds; exact, so in decimals."""
+    return F.floor(ns.cast("decimal(20,0)") / F.lit(1000).cast("decimal(4,0)")).cast("string")
 
 
 def is_uuid(s: Column) -> Column:
@@ -115,7 +116,7 @@ def mask(configuration: Column) -> Column:
     return F.transform_values(configuration, lambda k, v: F.lit("****"))
 
 
-# The order of log levels.
+# Result texts of sanitize and the order of log levels.
 LEVELS = {"debug": 0, "info": 1, "log": 1, "default": 2, "always": 2, "warn": 2, "success": 2, "none": 9, "error": 100, "none-really": 1000}
 
 

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 
 def parse_loops(text: str) -> list[tuple[list[str], int]]:
-    """``fast_lane:1 manual>*:4`` to [(queues by priority, slots)]."""
+    """``bulk:2 urgent>*:3`` to [(queues by priority, slots)]."""
     out = []
     for part in text.split():
         m = re.fullmatch(r"([A-Za-z0-9_*]+(?:>[A-Za-z0-9_*]+)*):([1-9]\d*)", part)

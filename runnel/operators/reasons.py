@@ -20,8 +20,8 @@ def leaves(steps: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def run_reason(steps: DataFrame, edges: DataFrame) -> DataFrame:
-    """Per run: the first failing leaf in order of ``ord`` gives reason and error, else success; other failures don't count."""
-    failed = F.min(F.when(F.col("reason") != "success", F.struct("ord", "reason", "step_id")))
+    """Per run: the first leaf with ``fail`` in order of ``ord`` gives reason and step, else success."""
+    failed = F.min(F.when(F.col("reason") == "fail", F.struct("ord", "reason", "step_id")))
     out = leaves(steps, edges).groupBy("run_id").agg(failed.alias("f"))
     return out.select("run_id", F.coalesce(F.col("f.reason"), F.lit("success")).alias("reason"), F.col("f.step_id").alias("failed_step"))
 
@@ -33,3 +33,8 @@ def duplicates(df: DataFrame, column: str) -> DataFrame:
 def versions_by_adaptor(df: DataFrame, name: Column, version: Column) -> DataFrame:
     """Per adaptor its versions as one sorted text."""
     return df.groupBy(name.alias("adaptor")).agg(F.array_join(F.array_sort(F.collect_set(version)), ",").alias("versions"))  # the versions of one adaptor
+
+
+def distinct_adaptors(df: DataFrame, adaptors: str) -> DataFrame:
+    """The different adaptors of all steps, from an array column."""
+    return df.select(F.explode(adaptors).alias("adaptor")).distinct()

@@ -130,24 +130,121 @@ def single(expression: str, id_: str = "job-1") -> Workflow:
     return Workflow((Step(id_, expression=expression),))
 
 
+def _bracket(text: str, at: int) -> int:
+    """The place after the bracket that closes the one at ``at``; brackets nest, and quotes hide them."""
+    depth, quote = 0, ""
+    for i in range(at, len(text)):
+        c = text[i]
+        if quote:
+            quote = "" if c == quote else quote
+        elif c in "'\"":
+            quote = c
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+            if not depth:
+                return i + 1
+    raise ValidationError([f"no closing bracket: {text[at:]}"])
+
+
+def _props(text: str) -> dict[str, str]:
+    """``a=b, c=d``; commas inside brackets and quotes do not part."""
+    parts, start, i = [], 0, 0
+    while i < len(text):
+        if text[i] == "(":
+            i = _bracket(text, i)
+            continue
+        if text[i] in "'\"":
+            i = text.find(text[i], i + 1)
+            if i < 0:
+                raise ValidationError([f"no closing quote: {text}"])
+        elif text[i] == ",":
+            parts.append(text[start:i])
+            start = i + 1
+        i += 1
+    pairs = [p.partition("=") for p in [*parts, text[start:]] if p.strip()]
+    if any(not eq for _, eq, _ in pairs):
+        raise ValidationError([f"not a property: {text}"])
+    return {k.strip(): v.strip() for k, _, v in pairs}
+
+
 def parse(text: str) -> Workflow:
-    """The text notation: ``a-b b-c a-(condition=on_job_failure)-d``, with lines ``@name x`` for the workflow."""
-    steps: dict[str, list[Edge]] = {}
+    """The text notation: ``a-b b-c a-(condition=on_job_failure)-d``, steps with properties ``a(name=x)``, lines ``@name x`` for the workflow, ``# comments``."""
+    edges: dict[str, list[Edge]] = {}
     about: dict[str, str] = {}
+    props: dict[str, dict] = {}
     for line in text.splitlines():
         line = line.strip()
         if m := re.fullmatch(r"@(\w+)\s+(.*)", line):
             about[m[1]] = m[2]
             continue
-        for m in re.finditer(r"(\w+)(?:-(?:\(([^)]*)\)-)?(\w+))?", line):
-            a, props, b = m[1], m[2], m[3]
-            steps.setdefault(a, [])
-            if b:
-                steps.setdefault(b, [])
-                p = dict(x.split("=", 1) for x in props.split(",")) if props else {}
-                c = p.get("condition", "true").strip()
-                steps[a].append(Edge(b, {"true": True, "false": False}.get(c, c), p.get("label"), p.get("disabled") == "true"))
-    return Workflow(tuple(Step(k, edges=tuple(v)) for k, v in steps.items()), about.get("start"), about.get("id"), about.get("name"))
+        at = 0
+
+        def step() -> str:
+            nonlocal at
+            m = re.compile(r"\w+").match(line, at)
+            if not m:
+                raise ValidationError([f"a step's name is missing: {line[at:]}"])
+            at = m.end()
+            edges.setdefault(m[0], [])
+            if line[at : at + 1] == "(":
+                end = _bracket(line, at)
+                props.setdefault(m[0], {}).update(_props(line[at + 1 : end - 1]))
+                at = end
+            return m[0]
+
+        while at < len(line):
+            if line[at].isspace():
+                at += 1
+                continue
+            if line[at] == "#":
+                break
+            a = step()
+            while line[at : at + 1] == "-":
+                at, p = at + 1, {}
+                if line[at : at + 1] == "(":
+                    end = _bracket(line, at)
+                    p, at = _props(line[at + 1 : end - 1]), end
+                    if line[at : at + 1] != "-":
+                        raise ValidationError([f"an edge leads nowhere: {line}"])
+                    at += 1
+                b = step()
+                c = p.get("condition", "true")
+                edges[a].append(Edge(b, {"true": True, "false": False}.get(c, c), p.get("label"), p.get("disabled") == "true"))
+                a = b
+            if at < len(line) and not line[at].isspace() and line[at] != "#":
+                raise ValidationError([f"not understood: {line[at:]}"])
+    known = {"name", "expression", "configuration"}
+    for k, v in props.items():
+        if unknown := sorted(set(v) - known - {"adaptor"}):
+            raise ValidationError([f"step {k}: unknown keys {', '.join(unknown)}"])
+    steps = [Step(k, edges=tuple(v), adaptors=tuple([props[k]["adaptor"]] if "adaptor" in props.get(k, {}) else []), **{n: x for n, x in props.get(k, {}).items() if n in known}) for k, v in edges.items()]
+    return Workflow(tuple(steps), about.get("start"), about.get("id"), about.get("name"))
+
+
+def from_wire(plan: dict) -> Workflow:
+    """From a run as a queue hands it over: ``triggers``, ``jobs`` and ``edges`` between them.
+
+    Edges name their ends by ``source_trigger_id`` or ``source_job_id`` and
+    ``target_job_id``; a missing condition is always true, a named one stays as it
+    is, and edges that are not enabled are kept as disabled.  A plan without a
+    starting node starts at its first trigger.
+    """
+    nodes = [(t["id"], True, t) for t in plan.get("triggers") or []] + [(j["id"], False, j) for j in plan.get("jobs") or []]
+    out: dict[str, list[Edge]] = {id_: [] for id_, _, _ in nodes}
+    for e in plan.get("edges") or []:
+        source = e.get("source_trigger_id") or e.get("source_job_id")
+        if source not in out or e.get("target_job_id") not in out:
+            raise ValidationError([f"edge {e.get('id')} has an end that does not exist"])
+        c = e.get("condition", "always")
+        out[source].append(Edge(e["target_job_id"], {"always": True, "never": False}.get(c, c), e.get("label"), e.get("enabled") is False))
+    steps = [
+        Step(id_, x.get("name"), tuple(out[id_]), None if trigger else x.get("body"), tuple([x["adaptor"]] if x.get("adaptor") else []), x.get("credential_id"), trigger)
+        for id_, trigger, x in nodes
+    ]
+    if not steps:
+        raise ValidationError(["a workflow needs steps"])
+    options = {k: v for k, v in (plan.get("options") or {}).items()}
+    return Workflow(tuple(steps), plan.get("starting_node_id"), plan.get("id"), plan.get("name"), options)
 
 
 def validate(w: Workflow) -> list[str]:

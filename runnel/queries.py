@@ -76,11 +76,31 @@ SELECT CASE WHEN row_number() OVER (PARTITION BY k ORDER BY ord) = 1 THEN 'z' EL
 SELECT o_orderkey AS k, 0 AS ord, 1 AS mark FROM orders WHERE o_totalprice > 100000 UNION ALL SELECT o_orderkey, 1, 2 FROM orders)) GROUP BY leaf_id""")
 def visit_ids(spark, sf_dir):
     w = Workflow((Step("a", edges=(Edge("b", "o_totalprice > 100000"), Edge("c"))), Step("b", edges=(Edge("z"),)), Step("c", edges=(Edge("z"),)), Step("z")))
-    mark = lambda n: lambda df: df.withColumn("mark", F.lit(n))
-    leaves = flow.run(w, order_states(spark, sf_dir), {"b": mark(1), "c": mark(2)})
+    leaves = flow.run(w, order_states(spark, sf_dir), {"b": flow.update(mark=F.lit(1)), "c": flow.update(mark=F.lit(2))})
     return leaves.groupBy("leaf_id").agg(F.count("*").alias("n"), F.sum("mark").alias("mark"))
 
 
+@query("""SELECT n_leaves, count(*) AS n_runs FROM (SELECT (1 + CAST(k % 2 = 0 AS BIGINT)) * (1 + CAST(k % 3 = 0 AS BIGINT)) * (1 + CAST(k % 4 = 0 AS BIGINT)) * (1 + CAST(k % 5 = 0 AS BIGINT))
+* (1 + CAST(k % 6 = 0 AS BIGINT)) AS n_leaves FROM (SELECT o_orderkey AS k FROM orders)) GROUP BY 1""")
+def diamonds(spark, sf_dir):
+    """Five diamonds in a row; the plan reads its input once."""
+    sides = [x for i in range(5) for x in (Step(f"d{i}", edges=(Edge(f"l{i}", f"run_id % {i + 2} = 0"), Edge(f"r{i}"))), Step(f"l{i}", edges=(Edge(f"d{i + 1}"),)), Step(f"r{i}", edges=(Edge(f"d{i + 1}"),)))]
+    leaves = flow.run(Workflow((*sides, Step("d5"))), order_states(spark, sf_dir))
+    return leaves.groupBy("run_id").agg(F.countDistinct("leaf_id").alias("n_leaves")).groupBy("n_leaves").agg(F.count("*").alias("n_runs"))
+
+
+@query("""SELECT event_type AS step, count(*) AS n FROM (SELECT CASE WHEN props->>'$.k' <> '' THEN 'yes' ELSE 'start' END AS event_type FROM events) GROUP BY 1""")
+def string_condition(spark, sf_dir):
+    """A condition that gives a string counts by its truthiness."""
+    states = event_states(spark, sf_dir, "props").withColumn("k", nested.source_value(F.col("props"), "$.k"))
+    return flow.run(parse("start-(condition=coalesce(k, ''))-yes"), states).groupBy("step").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT event_id, CAST(1700000000123456999 + event_id AS BIGINT) // 1000 || '' AS micros FROM events""")
+def nanos_to_micros(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", text.micros_text(F.lit(1700000000123456999) + F.col("event_id")).alias("micros"))
+
+
 @query("""SELECT leaf_id, count(*) AS n FROM (SELECT 'c' AS leaf_id FROM orders UNION ALL SELECT 'b' FROM orders WHERE NOT o_totalprice > 250000) GROUP BY leaf_id""")
 def end_node_cut(spark, sf_dir):
     w = Workflow((Step("a", edges=(Edge("b"), Edge("c"))), Step("b", edges=(Edge("d", "o_totalprice > 250000"),)), Step("c"), Step("d")), options={"end": "c"})
@@ -221,10 +241,12 @@ def batch_events(spark, sf_dir):
     return run_events.batches(e, 2, "user_id", "event_id", "event_type").select("event_id", "batch")
 
 
-@query("""SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id) AS active_step FROM events""")
+@query("""SELECT event_id, nullif(CASE WHEN event_type = 'purchase' THEN last_value(m IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+ELSE last_value(m IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END, -1) AS active_step FROM (
+SELECT *, CASE event_type WHEN 'signup' THEN event_id WHEN 'purchase' THEN -1 END AS m FROM events)""")
 def step_log_attach(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.expr("CASE WHEN event_type = 'signup' THEN event_id END").alias("step_id"))
-    return run_events.attach_steps(e, "user_id", "event_id").select("event_id", "active_step")
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.expr("CASE WHEN event_type = 'signup' THEN event_id END").alias("step_id"))
+    return run_events.attach_steps(e, "user_id", "event_id", ended=F.col("event_type") == "purchase").select("event_id", "active_step")
 
 
 @query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS position FROM events")
@@ -362,9 +384,9 @@ def spec_into_state(spark, sf_dir):
     return graph.spec_into_state(b, a.select("id", F.col("id").cast("string").alias("uuid")), "id").select("id", "action")
 
 
-@query("""SELECT DISTINCT l_suppkey AS id FROM lineitem WHERE l_suppkey NOT IN (SELECT l_partkey FROM lineitem)""")
+@query("""SELECT DISTINCT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT c_nationkey FROM customer)""")
 def graph_roots(spark, sf_dir):
-    return graph.roots(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")))
+    return graph.roots(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("src"), F.col("c_nationkey").alias("dst")))
 
 
 @query(f"""WITH {_SNAPSHOTS} SELECT id, name FROM a UNION ALL SELECT id, name FROM b WHERE id NOT IN (SELECT id FROM a)""")

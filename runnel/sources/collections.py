@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 class NotFound(LookupError):
@@ -45,8 +46,10 @@ def decode(value: Column) -> Column:
     return F.coalesce(F.try_parse_json(value), value.cast("variant"))
 
 
-def set_items(items: DataFrame, new: DataFrame) -> DataFrame:
-    """Upsert: of items with one key the new one stays."""
+def set_items(items: DataFrame, new: DataFrame, order: str = "updated_at") -> DataFrame:
+    """Upsert: of items with one key the new one stays, of several new ones the last by ``order``."""
+    last = F.row_number().over(Window.partitionBy("key").orderBy(F.desc(order), F.desc("value")))
+    new = new.withColumn("__n", last).where("__n = 1").drop("__n")
     return new.unionByName(items.join(new.select("key"), "key", "left_anti"), allowMissingColumns=True)
 
 

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def load(spark: SparkSession, path: str | None = None, cache: str | None = None) -> DataFrame:
     """States as (run_id, data JSON): from a file of lines, else a cached step output, else one default state."""
     if path:
         rows = spark.read.text(path).where(F.try_parse_json("value").isNotNull())  # bad lines drop out
-        return rows.select(F.sha2("value", 256).alias("run_id"), F.col("value").alias("data"))
+        n = F.row_number().over(Window.partitionBy("value").orderBy(F.lit(1)))  # equal states are runs of their own
+        return rows.select(F.concat_ws("-", F.sha2("value", 256), F.when(n > 1, n)).alias("run_id"), F.col("value").alias("data"))
     if cache:
         return spark.read.parquet(cache)
     return spark.createDataFrame([("run-1", '{"data":{}}')], "run_id string, data string")

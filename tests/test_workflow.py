@@ -78,7 +78,7 @@ def test_truthy(spark):
 
 
 def test_loops(spark):
-    assert claims.parse_loops("fast_lane:1 manual>*:4") == [(["fast_lane"], 1), (["manual", "*"], 4)]
+    assert claims.parse_loops("bulk:2 urgent>*:3") == [(["bulk"], 2), (["urgent", "*"], 3)]
     for bad in ("", "a", "a:0", "*>a:1", "a b:1", "a:x"):
         with pytest.raises(ValueError):
             claims.parse_loops(bad)
