@@ -8,14 +8,15 @@ Training reads a bounded sample of labelled rows (``max_train``, by a hash of
 the id; the bound is a parameter because a linear model stops gaining from
 rows long before 100 TB).  The sample is dealt to ``PARTS`` tasks; each runs
 FTRL-proximal with per-coordinate rates and L1, and the states are averaged
-(iterative parameter mixing).  L1 leaves a few thousand weights, at most
+(iterative parameter mixing); states are of at most ``DIMS`` coordinates.  L1 leaves a few thousand weights, at most
 ``DIMS`` of twelve bytes, which go to the scoring tasks.
 
 Defined results: a null or empty text is scored by the bias alone.  Repeated
 rows are scored row by row.  A label that is null, or whose id no document
 has, is ignored; of several labels of one id the largest counts.  Without any
 label, or with one class only, all scores are the base rate (0 without labels).
-A null id is in no training set and not held out.
+A null id is in no training set and not held out.  An empty table gives no rows;
+long texts are scored whole.
 """
 
 from __future__ import annotations
@@ -109,7 +110,7 @@ def _train_part(epochs: int, start: tuple | None):
         for _ in range(epochs):
             for i in order.permutation(len(rows)):
                 model.learn(*rows[i])
-        f = np.nonzero((np.abs(model.z) > 0.6 * model.l1) | (np.arange(DIMS + 1) == DIMS))[0]
+        f = np.nonzero((model.n > 0) | (np.arange(DIMS + 1) == DIMS))[0]  # all that was touched
         return pa.table({"f": pa.array(f, pa.int64()), "z": model.z[f], "n": model.n[f]})
 
     return run
