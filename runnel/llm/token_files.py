@@ -216,6 +216,8 @@ def write(docs: DataFrame, tokenizer: str, folder: str) -> DataFrame:
         if w is not None:
             w.close()
             out.close()
+            if fs.get_file_info(final).type != pafs.FileType.NotFound:  # of an earlier run or attempt: not every store replaces
+                fs.delete_file(final)
             fs.move(temp, final)
             row = [shard, final, fs.get_file_info(final).size, len(w.ids), w.n_ids]
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["shard", "path", "size", "n_docs", "n_tokens"])
