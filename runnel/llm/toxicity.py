@@ -8,7 +8,9 @@ Training reads a bounded sample of labelled rows (``max_train``, by a hash of
 the id; the bound is a parameter because a linear model stops gaining from
 rows long before 100 TB).  The sample is dealt to ``PARTS`` tasks; each runs
 FTRL-proximal with per-coordinate rates and L1, and the states are averaged
-(iterative parameter mixing); states are of at most ``DIMS`` coordinates.  L1 leaves a few thousand weights, at most
+(iterative parameter mixing); between rounds a part
+gives up the state of coordinates with |z| of at most ``KEPT`` times the L1 bound, whose weight is
+zero anyway (all touched ones need more than the driver's memory allows: 1,546 MB).  L1 leaves a few thousand weights, at most
 ``DIMS`` of twelve bytes, which go to the scoring tasks.
 
 Defined results: a null or empty text is scored by the bias alone.  Repeated
@@ -34,7 +36,7 @@ from .common import doc_rows, pieces
 
 DIMS = 1 << 20
 PARTS = 4
-THRESHOLD = 0.3
+THRESHOLD, KEPT = 0.3, 0.6
 _EDGE = re.compile(r"^\W+|\W+$")
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -110,7 +112,7 @@ def _train_part(epochs: int, start: tuple | None):
         for _ in range(epochs):
             for i in order.permutation(len(rows)):
                 model.learn(*rows[i])
-        f = np.nonzero((model.n > 0) | (np.arange(DIMS + 1) == DIMS))[0]  # all that was touched
+        f = np.nonzero((np.abs(model.z) > KEPT * model.l1) | (np.arange(DIMS + 1) == DIMS))[0]
         return pa.table({"f": pa.array(f, pa.int64()), "z": model.z[f], "n": model.n[f]})
 
     return run
