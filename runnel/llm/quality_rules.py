@@ -116,7 +116,10 @@ def metrics(docs: DataFrame) -> DataFrame:
 
 
 def thresholds(m: DataFrame) -> DataFrame:
-    """One row per (lang, source) with a document that passes the base rules: ``lo_<metric>`` and ``hi_<metric>``."""
+    """One row per (lang, source) with a document that passes the base rules: ``lo_<metric>`` and ``hi_<metric>``.
+
+    ``m`` is a saved table: a filter on metrics not yet written would be computed once for each of their uses.
+    """
     value = F.col("v")
     unit = F.pow(F.lit(10), F.length(value.cast("string")) - 2).cast("long")
     rounded = F.when(value < 100, value).otherwise(value - value % unit)

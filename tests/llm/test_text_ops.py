@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from runnel.llm import near_dedup, quality_rules, suffix_dedup, syncmers, toxicity, weak_quality
-from runnel.llm.common import read
+from runnel.llm.common import read, saved
 from runnel.llm.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -272,7 +272,7 @@ def test_quality_rules(spark, odd, none):
     df = QUERIES["op7_quality_rules"](spark, SF)
     want = con.sql(ORACLE_SQL["op7_quality_rules"]).select(*df.columns).fetchall()
     assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, want))
-    limits = quality_rules.thresholds(quality_rules.metrics(read(spark, SF, "documents"))).toPandas()
+    limits = quality_rules.thresholds(saved(quality_rules.metrics(read(spark, SF, "documents")))).toPandas()
     assert all(limits[f"{side}_{k}"].nunique() > 1 for side, k, _, _ in quality_rules.LIMITS if k != "symbol_pm")
     rows = quality_rules.judge(odd)
     by = {x.doc_id: x for x in rows.collect()}
