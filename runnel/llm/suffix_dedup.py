@@ -17,8 +17,11 @@ starts in a document with a smaller id.
 4. Each group sorts the 50-byte suffixes of its stretches: multikey quicksort on
    eight-byte characters to a shallow depth, then blind tries for what still
    has a common prefix.  Equal suffixes meet, and those of larger ids go.
-   A gram of more than ``SPLIT`` stretches is split into subgroups of about as
-   many suffixes by their hash, which go through the same sort.
+   A gram of more than ``SPLIT`` stretches is made longer: the strings of a
+   stretch whose starts lie in the same block of ``BLOCK`` places before the
+   anchor share 42 bytes around it, which take the gram's place.  A stretch has
+   at most four blocks.  What more than ``SPLIT`` blocks still share is split by
+   the 50 bytes themselves.  All go through the same sort.
 
 The runs are merged per document and cut from the bytes.
 
@@ -42,7 +45,7 @@ from pyspark.sql import functions as F
 from .common import doc_rows, dropped, joined, pieces, saved
 
 LEN, GRAM, SHALLOW, PIECE = 50, 16, 16, 1 << 21
-GRAMS_HELD, STRETCHES_HELD, SPLIT, CHUNK = 1 << 20, 1 << 16, 4_000, 12_000
+GRAMS_HELD, STRETCHES_HELD, SPLIT, CHUNK, BLOCK = 1 << 20, 1 << 16, 4_000, 12_000, 9
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _LAST = (1 << 63) - 1
 
@@ -53,6 +56,16 @@ def words_at(b: np.ndarray, order: str = "<u8") -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(pad, 8)[: len(b)].copy().view(order).ravel()
 
 
+def _hashes(b: np.ndarray) -> np.ndarray:
+    """The hash of the ``GRAM`` bytes at every place that has as many."""
+    n = len(b) - GRAM + 1
+    u = words_at(b)
+    h = (u[:n] * _A) ^ (u[8 : 8 + n] >> np.uint64(7))
+    h = (h ^ (h >> np.uint64(31))) * _B
+    h = ((h ^ (h >> np.uint64(29))) + u[8 : 8 + n]) * _A
+    return h ^ (h >> np.uint64(32))
+
+
 def anchors(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(key, place, first, last): of each anchor its gram's hash and the starts of the 50-byte strings that chose it."""
     n, w = len(b) - GRAM + 1, LEN - GRAM + 1
@@ -62,11 +75,7 @@ def anchors(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
         parts = [anchors(b[i : i + PIECE]) for i in range(0, len(b) - LEN + 1, PIECE - LEN + 1)]
         shift = [i for i in range(0, len(b) - LEN + 1, PIECE - LEN + 1)]
         return tuple(np.concatenate([p[k] + (s if k else p[0].dtype.type(0)) for p, s in zip(parts, shift, strict=True)]) for k in range(4))
-    u = words_at(b)
-    h = (u[:n] * _A) ^ (u[8 : 8 + n] >> np.uint64(7))
-    h = (h ^ (h >> np.uint64(31))) * _B
-    h = ((h ^ (h >> np.uint64(29))) + u[8 : 8 + n]) * _A
-    h ^= h >> np.uint64(32)
+    h = _hashes(b)
     low = (h & ~np.uint64(PIECE * 2 - 1)) | np.arange(n, dtype=np.uint64)  # of equal hashes the leftmost
     width = 1
     while width < w:
@@ -306,20 +315,46 @@ def _sorted(part: pa.Table) -> pa.Table:
 _SPLIT = "gram long, sub long, doc_id long, h long, begin long, bytes binary"
 
 
-def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The suffixes of stretches of common grams, each with the subgroup that its hash picks of ``parts``."""
-    for whole in batches:
-        for i in range(0, whole.num_rows, CHUNK):
-            b = whole.slice(i, CHUNK)
-            strings, owner, place = _suffixes(b.column("bytes").to_pylist(), b.column("begin").to_numpy())
-            x = np.zeros(len(strings), np.uint64)
-            for k in range(0, LEN - 7, 6):
-                x = (x ^ strings[:, k : k + 8].copy().view("<u8").ravel()) * _A
-                x ^= x >> np.uint64(29)
-            sub = (x % b.column("parts").to_numpy()[owner].astype(np.uint64)).astype(np.int64)
-            text = pa.FixedSizeBinaryArray.from_buffers(pa.binary(LEN), len(strings), [None, pa.py_buffer(np.ascontiguousarray(strings).tobytes())])
-            cols = [b.column("gram").to_numpy()[owner], sub, *[b.column(c).to_numpy()[owner] for c in ("doc_id", "h")], place]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), text.cast(pa.binary())], ["gram", "sub", "doc_id", "h", "begin", "bytes"])
+def _blocks(width: int):
+    """Stretches of common grams cut where ``start // width``, counted back from the anchor, changes.
+
+    All strings of a block have the ``LEN + 1 - width`` bytes from its place on
+    in common; their hash is the subgroup.  With a width of 1 it is the string's.
+    """
+    size = LEN + 1 - width
+
+    def cut_up(b: pa.RecordBatch) -> pa.RecordBatch:
+        data, gram, begin = b.column("bytes").to_pylist(), b.column("gram").to_numpy(), b.column("begin").to_numpy()
+        length = np.array([len(x) for x in data], np.int64)
+        flat, start = np.frombuffer(b"".join(data), np.uint8), np.cumsum(length) - length
+        whose = np.repeat(np.arange(len(data)), length)
+        hit = np.nonzero(_hashes(flat) == gram.view(np.uint64)[whose[: len(flat) - GRAM + 1]])[0]
+        hit = hit[hit + GRAM <= (start + length)[whose[hit]]]
+        anchor = hit[_starts(whose[hit])]  # the first in each stretch: of equal grams the leftmost was taken
+        each = length - LEN + 1
+        owner = np.repeat(np.arange(len(data)), each)
+        s = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + start[owner]
+        block = (anchor[owner] - s) // width
+        first = np.nonzero(np.append(True, (owner[1:] != owner[:-1]) | (block[1:] != block[:-1])))[0]
+        end = s[np.append(first[1:], len(s)) - 1] + LEN
+        s, o, at = s[first], owner[first], anchor[owner[first]] - block[first] * width
+        common = np.lib.stride_tricks.sliding_window_view(flat, size)[at]
+        x = np.zeros(len(o), np.uint64)
+        for k in [*range(0, size - 8, 8), size - 8]:
+            x = (x ^ common[:, k : k + 8].copy().view("<u8").ravel()) * _A
+            x ^= x >> np.uint64(29)
+        x = (x ^ block[first].astype(np.uint64)) * _B
+        x ^= x >> np.uint64(32)
+        text = [data[i][p:q] for i, p, q in zip(o.tolist(), (s - start[o]).tolist(), (end - start[o]).tolist(), strict=True)]
+        cols = [gram[o], x.view(np.int64), *[b.column(c).to_numpy()[o] for c in ("doc_id", "h")], begin[o] + s - start[o]]
+        return pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(text, pa.binary())], ["gram", "sub", "doc_id", "h", "begin", "bytes"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, CHUNK):
+                yield cut_up(whole.slice(i, CHUNK))
+
+    return run
 
 
 def ranges(docs: DataFrame) -> DataFrame:
@@ -338,16 +373,18 @@ def ranges(docs: DataFrame) -> DataFrame:
     dropped(shared)
     settled = stretches.where("bytes IS NULL").select("doc_id", "h", "begin", "end")
     todo = stretches.where("bytes IS NOT NULL").select("gram", "doc_id", "h", "begin", "bytes")
-    counts = todo.groupBy("gram").agg(F.ceil(F.count("*") * 20 / SPLIT).alias("parts"))  # a stretch has about 20 suffixes
-    common = saved(counts.where("parts > 20"))
-    rare = joined(todo, common, "gram", "left_anti").select("gram", F.lit(0).cast("long").alias("sub"), "doc_id", "h", "begin", "bytes")
-    split = joined(todo, common, "gram", "inner").select("gram", "parts", "doc_id", "h", "begin", "bytes").mapInArrow(_split, _SPLIT)
-    groups = rare.union(split).withColumn("bucket", F.pmod(F.xxhash64("gram", "sub"), F.lit(buckets)))
+    common = saved(todo.groupBy("gram").count().where(F.col("count") > SPLIT).select("gram"))
+    rare = joined(todo, common, "gram", "left_anti").withColumn("sub", F.lit(0).cast("long"))
+    blocks = saved(joined(todo, common, "gram", "left_semi").mapInArrow(_blocks(BLOCK), _SPLIT))
+    still = saved(blocks.groupBy("gram", "sub").count().where(F.col("count") > SPLIT).select("gram", "sub"))
+    single = joined(blocks, still, ["gram", "sub"], "left_semi").select(todo.columns).mapInArrow(_blocks(1), _SPLIT)
+    groups = rare.unionByName(joined(blocks, still, ["gram", "sub"], "left_anti")).unionByName(single)
+    groups = groups.withColumn("bucket", F.pmod(F.xxhash64("gram", "sub"), F.lit(buckets)))
     met = groups.groupBy("bucket").applyInArrow(_sorted, "doc_id long, h long, begin long, end long")
     whole = copies.where(F.col("n") >= LEN).select("doc_id", "h", F.lit(0).cast("long").alias("begin"), F.col("n").alias("end"))
     spans = settled.union(met).union(whole)
     out = saved(spans.groupBy(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).agg(F.collect_set(F.struct("begin", "end")).alias("__r")))
-    dropped(stretches, common, copies, sizes)
+    dropped(stretches, common, blocks, still, copies, sizes)
     return out
 
 

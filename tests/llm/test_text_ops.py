@@ -6,6 +6,7 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -187,6 +188,29 @@ def test_common_grams_are_split(spark, monkeypatch):
     assert sorted(map(tuple, suffix_dedup.digest(df).collect()), key=str) == brute_suffix(rows)
 
 
+def test_blocks_keep_all_strings_and_equal_strings_meet():
+    r = random.Random(3)
+    texts = [" ".join(words(r, 12)) + " the anchor may lie here " + " ".join(words(r, 6 + i % 3)) for i in range(60)]
+    rows = []
+    for d, t in enumerate(texts + [x[20:] for x in texts]):
+        b = np.frombuffer(t.encode(), np.uint8)
+        for k, _, s, e in zip(*suffix_dedup.anchors(b)):
+            rows.append((int(k.view(np.int64)), 0, d, 0, int(s), t.encode()[s : e + suffix_dedup.LEN]))
+    names = ["gram", "sub", "doc_id", "h", "begin", "bytes"]
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names)
+
+    def strings(batches):
+        return [(x["gram"], x["sub"], x["doc_id"], x["begin"] + i, x["bytes"][i : i + 50]) for b in batches for x in b.to_pylist() for i in range(len(x["bytes"]) - 49)]
+
+    want = sorted((g, d, at, x) for g, _, d, at, x in strings([batch]))
+    blocks = list(suffix_dedup._blocks(suffix_dedup.BLOCK)([batch]))
+    for out in (blocks, list(suffix_dedup._blocks(1)(blocks))):
+        got = strings(out)
+        assert sorted((g, d, at, x) for g, _, d, at, x in got) == want
+        assert len({(g, s, x) for g, s, _, _, x in got}) == len({x for *_, x in got})
+    assert sum(b.num_rows for b in blocks) <= 4 * len(rows)
+
+
 def test_texts_read_in_pieces_have_the_same_anchors(monkeypatch):
     b = np.random.default_rng(1).integers(97, 100, 5000).astype(np.uint8)
 
