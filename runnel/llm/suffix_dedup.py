@@ -11,7 +11,8 @@ starts in a document with a smaller id.
    smallest id that has it there; grams in one document only drop out.  What is
    left are rows (doc_id, gram), one for each shared anchor.
 3. For the shared anchors, the task that reads the text takes the stretch that
-   holds the strings which chose the anchor.  Suffixes that meet in a window of
+   holds the strings which chose the anchor.  A stretch that a text repeats is
+   one row with its first place and how far on the others are.  Suffixes that meet in a window of
    the task are settled there: only those of the smallest id are sent, keyed by
    the gram, so a passage of every document costs a row per window.
 4. Each group sorts the 50-byte suffixes of its stretches: multikey quicksort on
@@ -210,10 +211,11 @@ def _shared(part: pa.Table) -> pa.Table:
     return pa.concat_tables([known, pa.table({"doc_id": d[found], "gram": k[found].view(np.int64)})])
 
 
-_STRETCH = pa.schema([("gram", pa.int64()), ("doc_id", pa.int64()), ("h", pa.int64()), ("begin", pa.int64()), ("end", pa.int64()), ("bytes", pa.binary())])
+_MORE = pa.list_(pa.int64())
+_STRETCH = pa.schema([("gram", pa.int64()), ("doc_id", pa.int64()), ("h", pa.int64()), ("begin", pa.int64()), ("end", pa.int64()), ("bytes", pa.binary()), ("more", _MORE)])
 
 
-def _settled(gram: np.ndarray, ids: np.ndarray, h: np.ndarray, begin: np.ndarray, data: list[bytes]) -> pa.RecordBatch:
+def _settled(gram: np.ndarray, ids: np.ndarray, h: np.ndarray, begin: np.ndarray, data: list[bytes], more: list) -> pa.RecordBatch:
     """The rows of a window: stretches to send, and, without bytes, spans that a smaller id of the window settles."""
     order = np.argsort(gram, kind="stable")
     first = np.append(_starts(gram[order]), len(gram))
@@ -221,7 +223,7 @@ def _settled(gram: np.ndarray, ids: np.ndarray, h: np.ndarray, begin: np.ndarray
     alone = order[np.repeat(size == 1, size)]
     meet = order[np.repeat(size > 1, size)]
     cols = [gram[alone], ids[alone], h[alone], begin[alone], begin[alone] + np.array([len(data[i]) for i in alone], np.int64)]
-    out = [data[i] for i in alone]
+    out, far = [data[i] for i in alone], [more[i] for i in alone]
     # Whole grams at a time, so that no more than about CHUNK stretches are suffixes at once.
     cuts, s = np.cumsum(size[size > 1]), 0
     while s < len(meet):
@@ -235,11 +237,13 @@ def _settled(gram: np.ndarray, ids: np.ndarray, h: np.ndarray, begin: np.ndarray
         o, b, n = _runs(gone, place, owner)
         cols = [np.append(c, x) for c, x in zip(cols, (gram[rows[o]], ids[rows[o]], h[rows[o]], b, n), strict=True)]
         out += [None] * len(o)
+        far += [more[r] for r in rows[o]]
         o, b, n = _runs(~gone, place, owner)
         cols = [np.append(c, x) for c, x in zip(cols, (gram[rows[o]], ids[rows[o]], h[rows[o]], b, n), strict=True)]
         out += [data[r][x - y : z - y] for r, x, z, y in zip(rows[o].tolist(), b.tolist(), n.tolist(), begin[rows[o]].tolist(), strict=True)]
+        far += [more[r] for r in rows[o]]
         s = e
-    return pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(out, pa.binary())], schema=_STRETCH)
+    return pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(out, pa.binary()), pa.array(far, _MORE)], schema=_STRETCH)
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +252,7 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def window() -> pa.RecordBatch:
         gram, ids, h, begin = (np.concatenate([x[i] for x in held]) for i in range(4))
-        out = _settled(gram, ids, h, begin, [y for x in held for y in x[4]])
+        out = _settled(gram, ids, h, begin, *([y for x in held for y in x[i]] for i in (4, 5)))
         held.clear()
         return out
 
@@ -260,8 +264,13 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             k = k.view(np.int64)
             at = np.nonzero(np.isin(k, grams[i].values.to_numpy(zero_copy_only=False)))[0]
             data = [raw[s:e] for s, e in zip(first[at].tolist(), (last[at] + LEN).tolist(), strict=True)]
-            held.append((k[at], np.full(len(at), d), np.full(len(at), h), first[at], data))
-            n += len(at)
+            begin, places = first[at], {}
+            for j, x in enumerate(data):
+                places.setdefault(x, []).append(j)
+            one = np.array([v[0] for v in places.values()], np.int64)
+            more = [(begin[v[1:]] - begin[v[0]]).tolist() if len(v) > 1 else None for v in places.values()]
+            held.append((k[at][one], np.full(len(one), d), np.full(len(one), h), begin[one], list(places), more))
+            n += len(one)
             if n > STRETCHES_HELD:
                 yield window()
                 n = 0
@@ -307,12 +316,15 @@ def _sorted(part: pa.Table) -> pa.Table:
         least = np.full(cls.max() + 1, _LAST)
         np.minimum.at(least, cls, ids[owner])
         o, b, n = _runs(ids[owner] > least[cls], place, owner)
-        out.append(pa.table({"doc_id": ids[o], "h": rows.column("h").to_numpy()[o], "begin": b, "end": n}))
+        out.append(pa.table({"doc_id": ids[o], "h": rows.column("h").to_numpy()[o], "begin": b, "end": n, "more": rows.column("more").take(pa.array(o))}))
         s = e
     return pa.concat_tables(out)
 
 
-_SPLIT = "gram long, sub long, doc_id long, h long, begin long, bytes binary"
+_SPLIT = "gram long, sub long, doc_id long, h long, begin long, bytes binary, more array<long>"
+
+
+_BLOCK = ["gram", "sub", "doc_id", "h", "begin", "bytes", "more"]
 
 
 def _blocks(width: int):
@@ -347,7 +359,7 @@ def _blocks(width: int):
         x ^= x >> np.uint64(32)
         text = [data[i][p:q] for i, p, q in zip(o.tolist(), (s - start[o]).tolist(), (end - start[o]).tolist(), strict=True)]
         cols = [gram[o], x.view(np.int64), *[b.column(c).to_numpy()[o] for c in ("doc_id", "h")], begin[o] + s - start[o]]
-        return pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(text, pa.binary())], ["gram", "sub", "doc_id", "h", "begin", "bytes"])
+        return pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(text, pa.binary()), b.column("more").take(pa.array(o))], _BLOCK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -369,10 +381,10 @@ def ranges(docs: DataFrame) -> DataFrame:
     shared = saved(sent.groupBy("bucket").applyInArrow(_shared, "doc_id long, gram long"))
     by_doc = shared.groupBy("doc_id").agg(F.collect_set("gram").alias("grams"))  # no more than a document has
     found = rest.join(by_doc.hint("shuffle_hash"), "doc_id").select("doc_id", "h", "text", "grams")
-    stretches = saved(found.mapInArrow(_stretches, "gram long, doc_id long, h long, begin long, end long, bytes binary"))
+    stretches = saved(found.mapInArrow(_stretches, "gram long, doc_id long, h long, begin long, end long, bytes binary, more array<long>"))
     dropped(shared)
-    settled = stretches.where("bytes IS NULL").select("doc_id", "h", "begin", "end")
-    todo = stretches.where("bytes IS NOT NULL").select("gram", "doc_id", "h", "begin", "bytes")
+    settled = stretches.where("bytes IS NULL").select("doc_id", "h", "begin", "end", "more")
+    todo = stretches.where("bytes IS NOT NULL").select("gram", "doc_id", "h", "begin", "bytes", "more")
     common = saved(todo.groupBy("gram").count().where(F.col("count") > SPLIT).select("gram"))
     rare = joined(todo, common, "gram", "left_anti").withColumn("sub", F.lit(0).cast("long"))
     blocks = saved(joined(todo, common, "gram", "left_semi").mapInArrow(_blocks(BLOCK), _SPLIT))
@@ -380,9 +392,11 @@ def ranges(docs: DataFrame) -> DataFrame:
     single = joined(blocks, still, ["gram", "sub"], "left_semi").select(todo.columns).mapInArrow(_blocks(1), _SPLIT)
     groups = rare.unionByName(joined(blocks, still, ["gram", "sub"], "left_anti")).unionByName(single)
     groups = groups.withColumn("bucket", F.pmod(F.xxhash64("gram", "sub"), F.lit(buckets)))
-    met = groups.groupBy("bucket").applyInArrow(_sorted, "doc_id long, h long, begin long, end long")
+    met = groups.groupBy("bucket").applyInArrow(_sorted, "doc_id long, h long, begin long, end long, more array<long>")
     whole = copies.where(F.col("n") >= LEN).select("doc_id", "h", F.lit(0).cast("long").alias("begin"), F.col("n").alias("end"))
-    spans = settled.union(met).union(whole)
+    spans = settled.union(met).unionByName(whole, allowMissingColumns=True)
+    far = F.explode(F.concat(F.array(F.lit(0).cast("long")), F.coalesce("more", F.expr("cast(array() as array<long>)")))).alias("far")
+    spans = spans.select("doc_id", "h", "begin", "end", far).withColumns({c: F.col(c) + F.col("far") for c in ("begin", "end")})
     out = saved(spans.groupBy(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).agg(F.collect_set(F.struct("begin", "end")).alias("__r")))
     dropped(stretches, common, blocks, still, copies, sizes)
     return out

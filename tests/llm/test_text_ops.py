@@ -184,6 +184,8 @@ def test_suffix_dedup(spark, odd, none):
 def test_common_grams_are_split(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SPLIT", 2)
     rows = [(i, f"{i} " * 5 + "the same long passage that is in every document of this table, again " * 2 + f"{i}" * 7) for i in range(9)]
+    line = "a line that its document repeats and that others have as well\n"
+    rows += [(20, line * 30), (21, "x" + line * 3), (22, line * 9 + "end"), (23, "start " + line)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert sorted(map(tuple, suffix_dedup.digest(df).collect()), key=str) == brute_suffix(rows)
 
@@ -195,8 +197,8 @@ def test_blocks_keep_all_strings_and_equal_strings_meet():
     for d, t in enumerate(texts + [x[20:] for x in texts]):
         b = np.frombuffer(t.encode(), np.uint8)
         for k, _, s, e in zip(*suffix_dedup.anchors(b)):
-            rows.append((int(k.view(np.int64)), 0, d, 0, int(s), t.encode()[s : e + suffix_dedup.LEN]))
-    names = ["gram", "sub", "doc_id", "h", "begin", "bytes"]
+            rows.append((int(k.view(np.int64)), 0, d, 0, int(s), t.encode()[s : e + suffix_dedup.LEN], [d]))
+    names = ["gram", "sub", "doc_id", "h", "begin", "bytes", "more"]
     batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names)
 
     def strings(batches):
@@ -208,6 +210,7 @@ def test_blocks_keep_all_strings_and_equal_strings_meet():
         got = strings(out)
         assert sorted((g, d, at, x) for g, _, d, at, x in got) == want
         assert len({(g, s, x) for g, s, _, _, x in got}) == len({x for *_, x in got})
+    assert all(x["more"] == [x["doc_id"]] for b in blocks for x in b.to_pylist())
     assert sum(b.num_rows for b in blocks) <= 4 * len(rows)
 
 
@@ -229,10 +232,11 @@ def test_texts_read_in_pieces_have_the_same_anchors(monkeypatch):
 def test_strings_that_meet_in_one_window_are_settled_there():
     data = [b"x" * 60, b"y" + b"x" * 59, b"z" * 50]
     at = np.array([0, 7, 3])
-    out = suffix_dedup._settled(np.array([5, 5, 6]), np.array([2, 1, 1]), np.array([0, 0, 0]), at, data).to_pylist()
+    out = suffix_dedup._settled(np.array([5, 5, 6]), np.array([2, 1, 1]), np.array([0, 0, 0]), at, data, [None, [9], None]).to_pylist()
     sent = sorted((r["doc_id"], r["begin"], r["bytes"]) for r in out if r["bytes"])
     assert [(r["doc_id"], r["begin"], r["end"]) for r in out if not r["bytes"]] == [(2, 0, 60)]
     assert sent == [(1, 3, data[2]), (1, 7, data[1])]
+    assert sorted((r["begin"], r["more"]) for r in out if r["doc_id"] == 1) == [(3, None), (7, [9])]
 
 
 def test_equal_suffixes():
