@@ -5,25 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import dropped, saved
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(node, label) for every node of ``edges`` (a, b): label is the smallest node of its component.
 
-    Each round takes the smallest label among a node's neighbours and then the
-    label of that label (pointer jumping), until nothing changes; stars settle
-    in two rounds.  Minima are combined before they are shuffled, and labels
-    are unique on their side of each join, so a node with a huge number of
-    neighbours only makes a skewed join that Spark splits.
+    ``known`` has labels (node, label) of components of part of the edges.  In each round
+    every node takes the smallest label among its neighbours and then the label
+    of that label (pointer jumping); then the edges are drawn between labels,
+    and those inside one label go, until none is left.  Stars are one node after a
+    round.  Minima are combined before they are shuffled, and labels are unique
+    on their side of each join, so a node with a huge number of neighbours only
+    makes a skewed join that Spark splits.
     """
-    both = saved(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a != b").distinct())
-    label = saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")))
-    while True:
-        near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        low = label.join(near, "node").select("node", "label", F.least("label", "near").alias("low"))
-        up = label.select(F.col("node").alias("low"), F.col("label").alias("up"))
-        new = saved(low.join(up, "low", "left").select("node", F.least("low", "up").alias("label"), F.col("label").alias("old")))
-        if not new.where("label != old").limit(1).count():
-            return new.select("node", "label")
-        label = new.select("node", "label")
+    label, edges = known, edges.select("a", "b")
+    nodes = saved(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    label = saved(nodes.withColumn("label", F.col("node")) if known is None else nodes.join(known, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
+    left = saved(contracted(edges, label) if known is not None else edges.where("a != b").distinct())
+    while left.limit(1).count():
+        both = left.union(left.select(F.col("b"), F.col("a")))
+        low = saved(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).withColumn("low", F.least("low", "node")))
+        up = low.select(F.col("node").alias("low"), F.col("low").alias("up"))
+        step = saved(low.join(up, "low", "left").select("node", F.coalesce("up", "low").alias("label")))
+        moved = step.select(F.col("node").alias("label"), F.col("label").alias("to"))
+        new = saved(label.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+        rest = saved(contracted(left, step))
+        dropped(label, low, step, left)
+        label, left = new, rest
+    return label.select("node", "label")
+
+
+def contracted(edges: DataFrame, label: DataFrame) -> DataFrame:
+    """Distinct edges between the labels of the ends of ``edges``; none inside a label."""
+    ends = edges.join(label.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(label.select(F.col("node").alias("b"), F.col("label").alias("y")), "b")
+    return ends.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()

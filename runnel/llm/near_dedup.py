@@ -8,18 +8,23 @@ so that two texts share a sketch when they share those shingles in that order.
 With ``PICKS`` = 3 and 48 sketches, a pair with a changed word in ten (some 42 %
 of the shingles in common) shares one with probability 0.97.
 
-Texts that share a sketch and a class of length are candidates.  They are
-compared in rounds of stars: in the first, the smallest id of each shared
-sketch meets the others of it.  Then the components so far are known, and in
-each sketch that still has several of them the next centres (64 times as
-many a round) meet all members of other components; a centre that has met them
-leaves.  A sketch is done when its members are in one component or all were
-centres, so two candidates are either compared or in one class already,
-whichever of them has the smallest id.  A sketch that a third of the corpus
-shares costs as many rows as it has texts if they are near copies; only members
-that really differ, such as texts with a common passage, are compared one by one.
-
-Most of those end at a signature of ``SLOTS`` bytes a text: its words, labelled
+Texts that share a sketch and a class of length are candidates.  First the
+smallest id of each shared sketch meets the others of it.  A sketch whose
+members then are in one component is done; a sketch that a third of the corpus
+shares costs as many rows as it has texts if they are near copies.  Sketches
+that keep several components mostly come from a common passage, and comparing
+their members one by one grows with the square of their number.  Their texts go
+through an exact prefix filter: with all words, labelled by occurrence, in one
+order from rare to common, two near texts of n words at least have a word in
+common among the first n - ceil(``SIMILARITY`` n) + 1 of each, so each of these
+words is a finer key.  A passage that many texts have is common by itself and
+seldom among them.
+
+In each finer key the smallest id meets the others of other components.  Keys
+that have several components even then are compared whole: each pair of texts
+of different components meets once, whichever of them has the smallest id.
+
+Most pairs of a shared sketch that are not near end at a signature of ``SLOTS`` bytes a text: its words, labelled
 by occurrence, fall into slots, and each slot keeps a byte of its smallest hash.
 Two texts of which ``SIMILARITY`` of the words match have two thirds of all
 words in common at least, so that share of slots agrees; a pair is given up four
@@ -49,10 +54,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_rows, joined, pieces, saved
+from .common import doc_rows, dropped, joined, pieces, saved
 from .graphs import components
 
 WORDS, PICKS, SKETCHES, SIMILARITY, SPOKES, SLOTS = 5, 3, 48, 0.8, 256, 64
+COUNTS, RAREST = 1 << 18, 16  # counters of words: those that share one have one place in the order, which any order allows
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _ROWS = np.arange(SKETCHES)
 _SEEDS = (np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))[:, None]
@@ -251,39 +257,115 @@ def members(reps: DataFrame) -> DataFrame:
     return shared_keys(reps.where("keys IS NOT NULL").select(F.explode(keys).alias("k"), "rep", "n"))
 
 
-def centred(rest: DataFrame, more: int) -> DataFrame:
-    """Rows (k, rep, n, c) of the keys with several components ``c``, and whether each is a centre: the first of its key, and about ``more`` others."""
-    keys = rest.groupBy("k").agg(F.count("*").alias("size"), F.min("rep").alias("first"), F.min("c").alias("low"), F.max("c").alias("top"))
-    centre = (F.col("rep") == F.col("first")) | (F.pmod(F.xxhash64("rep"), F.col("size")) < more)
-    return rest.join(keys.where("low < top"), "k").select("k", "rep", "n", "c", centre.alias("centre"))
+def unsettled(rest: DataFrame) -> DataFrame:
+    """The rows of the keys with several components ``c``, with the key's centre ``x``: its smallest id."""
+    keys = rest.groupBy("k").agg(F.min(F.struct("rep", "c", "n")).alias("x"), F.min("c").alias("low"), F.max("c").alias("top"))
+    return rest.join(keys.where("low < top"), "k").drop("low", "top")
 
 
-def candidates(rows: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of a centre and a member of another component whose lengths allow the threshold."""
-    centres = rows.where("centre").select("k", F.col("rep").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"))
-    met = rows.join(centres, "k").where("c != cx AND (NOT centre OR x < rep)")
-    met = met.where(F.least("n", "nx") >= SIMILARITY * F.greatest("n", "nx"))
-    return met.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
+def starry(rows: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of each key's centre and its members of other components whose lengths allow the threshold."""
+    met = rows.where("c != x.c").where(F.least("n", "x.n") >= SIMILARITY * F.greatest("n", "x.n"))
+    return met.select(F.least("rep", "x.rep").alias("a"), F.greatest("rep", "x.rep").alias("b")).distinct()
+
+
+def crossed(rows: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of members of other components whose lengths allow the threshold.
+
+    A pair that has one of its ``rarest`` keys in common meets at the first of those only.
+    """
+    y = rows.select("k", F.col("rep").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("rarest").alias("ra"))
+    both = F.array_intersect("rarest", "ra")
+    met = y.join(rows, "k").where("a < rep AND c != ca").where(F.least("n", "na") >= SIMILARITY * F.greatest("n", "na"))
+    met = met.where((F.size(both) == 0) | (F.array_min(both) == F.col("k")))
+    return met.select("a", F.col("rep").alias("b")).distinct()
+
+
+def needed(n: int) -> int:
+    """Words of ``n`` that a near text has too, at least."""
+    return math.ceil(SIMILARITY * n - 1e-9)
+
+
+def rare_first(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The rarest labelled words of a text, one of which every near text has among its own."""
+    order = np.lexsort((h, counts[(h % np.uint64(len(counts))).astype(np.int64)]))
+    return h[order[: len(h) - needed(len(h)) + 1]]
+
+
+def word_counts(texts: DataFrame) -> np.ndarray:
+    """How often labelled words occur in ``texts`` (value), in ``COUNTS`` counters: bounded, whatever the corpus."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, counts = WordHash(), np.zeros(COUNTS, np.int64)
+        for b in pieces(batches, "value"):
+            for t in b.column("value").to_pylist():
+                np.add.at(counts, (shingles(word_hashes(t, words), 1) % np.uint64(COUNTS)).astype(np.int64), 1)
+        at = np.nonzero(counts)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["at", "n"])
+
+    found = texts.select("value").mapInArrow(run, "at long, n long").groupBy("at").agg(F.least(F.sum("n"), F.lit((1 << 31) - 1)).cast("int").alias("n")).toArrow()
+    counts = np.zeros(COUNTS, np.int32)
+    counts[found.column("at").to_numpy()] = found.column("n").to_numpy()
+    return counts
+
+
+def prefixes(texts: DataFrame) -> DataFrame:
+    """Rows (k, rep, rarest) of the prefix filter over saved ``texts`` (id, value): any two near ones share a ``k``; ``rarest`` are the first ``RAREST`` of a text."""
+    counts = word_counts(texts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordHash()
+        for b in pieces(batches, "value"):
+            keys = [rare_first(shingles(word_hashes(t, words), 1), counts) for t in b.column("value").to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
+            rarest = pa.array([k[:RAREST].view(np.int64) for k in keys], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), b.column("id").take(at), rarest.take(at)], ["k", "rep", "rarest"])
+
+    return texts.mapInArrow(run, "k long, rep long, rarest array<long>")
+
+
+def picked(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows (id, value) of the saved ``ids``; all texts of an id that repeats, each once."""
+    return joined(texts, ids, "id", "left_semi").distinct()
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The near ones of the saved ``pairs``."""
+    ids = saved(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    near = saved(starred(pairs, picked(texts, ids)).mapInArrow(_verify, "a long, b long").distinct())
+    dropped(ids)
+    return near
+
+
+def labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """The rows that were no centre of their key, with their components now."""
+    left = rows.where("NOT (rep = x.rep AND n = x.n)").drop("c", "x").join(label.withColumnRenamed("node", "rep"), "rep", "left")
+    return left.withColumn("c", F.coalesce("label", "rep")).drop("label")
 
 
 def near_pairs(reps: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The near pairs (a, b) found, and (node, label) of their components."""
-    rest, more, met, near = members(reps).withColumn("c", F.col("rep")), 0, None, None
-    sigs = reps.select(F.col("rep").alias("id"), F.col("sig").alias("value"))
-    while True:
-        rows = saved(centred(rest, more))
-        pairs = candidates(rows)
-        pairs = saved(pairs if met is None else pairs.join(met, ["a", "b"], "left_anti"))
-        likely = saved(starred(pairs, sigs).mapInArrow(_sieve, "a long, b long"))
-        ids = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        new = saved(starred(likely, texts.join(ids, "id", "left_semi")).mapInArrow(_verify, "a long, b long").distinct())
-        met, near = (pairs, new) if met is None else (met.union(pairs), near.union(new))
-        label = components(near)
-        known = label.withColumnRenamed("node", "rep")
-        rest = rows.where("NOT centre").select("k", "rep", "n").join(known, "rep", "left").select("k", "rep", "n", F.coalesce("label", "rep").alias("c"))
-        if not centred(rest, 0).limit(1).count():
-            return near, label
-        more = 64 * more + 63
+    rows = saved(unsettled(members(reps).withColumn("c", F.col("rep"))))
+    pairs = saved(starry(rows))
+    likely = saved(starred(pairs, reps.select(F.col("rep").alias("id"), F.col("sig").alias("value"))).mapInArrow(_sieve, "a long, b long"))
+    near = verified(likely, texts)
+    label = components(near)
+    # Sketches with several components: by finer keys.
+    left = saved(unsettled(labelled(rows, label)).select(F.col("rep").alias("id"), "n", "c").distinct())
+    dropped(rows, likely)
+    ids = saved(left.select("id").distinct())
+    values = saved(picked(texts, ids))
+    rows = saved(unsettled(prefixes(values).join(left.withColumnRenamed("id", "rep"), "rep")))
+    met = pairs
+    for pick in (starry, crossed):
+        pairs = saved(pick(rows).join(met, ["a", "b"], "left_anti"))
+        near, met = near.union(verified(pairs, values)), met.union(pairs)
+        label = components(near, label)
+        if pick is starry:
+            old, rows = rows, saved(unsettled(labelled(rows, label)))
+            dropped(old)
+    dropped(rows, left, ids, values)
+    return near, label
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -291,7 +373,7 @@ def classes(docs: DataFrame) -> DataFrame:
     rows = doc_rows(docs).withColumn("h", F.xxhash64("text", F.length("text"), F.crc32("text")))
     sigs = saved(rows.mapInArrow(_sketch_rows, _SKETCHED))
     reps = saved(sigs.where("doc_id IS NOT NULL").groupBy("h").agg(F.min(F.struct("doc_id", "n", "keys", "sig")).alias("r")).select("h", F.col("r.doc_id").alias("rep"), "r.n", "r.keys", "r.sig"))
-    texts = doc_rows(docs).select(F.col("doc_id").alias("id"), F.col("text").alias("value")).distinct()
+    texts = doc_rows(docs).select(F.col("doc_id").alias("id"), F.col("text").alias("value"))
     near, label = near_pairs(reps, texts)
     links = near.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     found = label.withColumnRenamed("node", "rep").join(links, "rep", "left")

@@ -102,6 +102,36 @@ def test_near_dedup_families_whose_base_has_a_middle_id(spark):
     assert sum(got[d] == label[d] for d in got) >= 0.95 * len(rows)  # each is linked to the base alone, with recall 0.96
 
 
+def test_near_dedup_pairs_of_a_common_passage_grow_with_the_texts(spark):
+    """Before: 148,176 pairs went to signatures and alignment, as texts of the passage met one by one."""
+    r = random.Random(5)
+    passage, rows = words(r, 90, 10**6), []
+    for _ in range(200):
+        w = words(r, 60, 10**6)
+        v = [f"n{r.random()}" if i % 6 == 0 else x for i, x in enumerate(w)]  # with its twin 140 of 150 words in common
+        rows += [(len(rows), " ".join(passage + w)), (len(rows) + 1, " ".join(v[:30] + passage + v[30:] if len(rows) % 4 else passage + v))]
+    docs, made = spark.createDataFrame(rows, "doc_id long, text string"), []
+    real, near_dedup.starred = near_dedup.starred, lambda pairs, values: made.append(pairs.count()) or real(pairs, values)
+    try:
+        got = {x.doc_id: x.class_id for x in near_dedup.classes(docs).collect()}
+    finally:
+        near_dedup.starred = real
+    label = [i - i % 2 if i % 4 == 1 else i for i in range(400)]
+    assert got == dict(enumerate(label)) and sum(made) < 8000
+
+
+def test_two_near_texts_share_one_of_their_rarest_words():
+    t, r = near_dedup.WordHash(), random.Random(6)
+    counts = np.array([r.randrange(50) for _ in range(64)])
+    for n in (1, 2, 4, 5, 9, 50, 150) * 20:
+        a = words(r, n, r.choice([5, 50, 5000]))
+        gone = set(r.sample(range(n), n // 5))
+        b = [f"n{r.random()}" if i in gone else x for i, x in enumerate(a)]
+        x, y = (near_dedup.shingles(near_dedup.word_hashes(" ".join(w), t), 1) for w in (a, b))
+        assert set(near_dedup.rare_first(x, counts)) & set(near_dedup.rare_first(y, counts))
+        assert len(near_dedup.rare_first(x, counts)) == n // 5 + 1
+
+
 def test_alignment_is_the_longest_common_subsequence():
     t, r = near_dedup.WordHash(), random.Random(4)
     for n in [1, 2, 5, 30, 70, 150] * 6:
