@@ -78,12 +78,17 @@ def _failed(upstream: str) -> Column:
     return F.coalesce(F.map_contains_key("errors", upstream), F.lit(False)) & F.element_at(F.col("errors"), upstream).isNotNull()
 
 
+def always(edge: Edge) -> bool:
+    """Whether the edge takes every state."""
+    return not edge.disabled and (edge.condition is True or (isinstance(edge.condition, str) and edge.condition == "always"))
+
+
 def condition(edge: Edge, upstream: str, df: DataFrame) -> Column:
     """The edge's filter over the rows of ``df``; never null.  A condition that is no boolean counts by its truthiness."""
     c = edge.condition
     if edge.disabled or c is None or c is False or (isinstance(c, str) and not c):
         return F.lit(False)
-    if c is True or (isinstance(c, str) and c == "always"):
+    if always(edge):
         return F.lit(True)
     if isinstance(c, str):
         if c in ("on_job_success", "on_upstream_success"):
@@ -122,7 +127,8 @@ def run(workflow: Workflow, states: DataFrame, steps: dict[str, Operation] | Non
         if id_ not in paths:
             continue
         here = F.col(AT) == id_
-        if paths[id_] > 1:  # a single path visits once: no window, no shuffle
+        edges = workflow.step(id_).edges if id_ != end else ()
+        if paths[id_] > 1 and not any(always(e) for e in edges):  # a single path visits once, and where all go on no leaf needs a number: no window, no shuffle
             df = df.withColumn("__visit", F.when(here, visit).otherwise(F.col("__visit")))
         op = steps.get(id_)
         if isinstance(op, Update):
@@ -130,7 +136,6 @@ def run(workflow: Workflow, states: DataFrame, steps: dict[str, Operation] | Non
         elif op is not None:  # of any kind: its rows and the others part, so what stands above is written first
             df = materialised(df)
             df = op(df.where(here)).unionByName(df.where(~here), allowMissingColumns=True)
-        edges = workflow.step(id_).edges if id_ != end else ()
         taken = []
         for k, e in enumerate(edges):
             taken.append(F.when(here & condition(e, id_, df), F.struct(F.lit(e.target).alias("at"), F.lit(k).alias("edge"))))

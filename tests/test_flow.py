@@ -16,6 +16,15 @@ def test_diamonds_read_their_input_once(spark):
     assert plan.count("Relation [") == 1
 
 
+def test_only_steps_where_a_state_can_stay_number_their_visits(spark):
+    """Before: 13 windows, one for each step of the diamonds that several paths reach."""
+    plan = queries.diamonds(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("row_number()") == 1
+    w = Workflow((Step("a", edges=(Edge("b"), Edge("c"))), Step("b", edges=(Edge("m"),)), Step("c", edges=(Edge("m"),)), Step("m", edges=(Edge("z", "run_id = 1"),)), Step("z")))
+    leaves = flow.run(w, flow.no_errors(spark.range(2).withColumnRenamed("id", "run_id")))
+    assert sorted((r.run_id, r.leaf_id) for r in leaves.collect()) == [(0, "m"), (0, "m-1"), (1, "z"), (1, "z-1")]
+
+
 def test_steps_of_any_kind_are_written_before_rows_part(spark):
     w = Workflow((Step("a", edges=(Edge("b", "run_id % 2 = 0"), Edge("c"))), Step("b", edges=(Edge("z"),)), Step("c", edges=(Edge("z"),)), Step("z")))
     states = flow.no_errors(spark.range(10).withColumnRenamed("id", "run_id"))
