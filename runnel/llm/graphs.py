@@ -9,9 +9,9 @@ from .common import dropped, saved
 
 
 def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """(node, label) for every node of ``edges`` (a, b): label is the smallest node of its component.
+    """(node, label) for every node of ``edges`` (a, b) and of ``known``: label is the smallest node of its component.
 
-    ``known`` has labels (node, label) of components of part of the edges.  In each round
+    ``known`` has labels (node, label) of the components of earlier edges, which are not read again.  In each round
     every node takes the smallest label among its neighbours and then the label
     of that label (pointer jumping); then the edges are drawn between labels,
     and those inside one label go, until none is left.  Stars are one node after a
@@ -21,7 +21,7 @@ def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """
     label, edges = known, edges.select("a", "b")
     nodes = saved(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    label = saved(nodes.withColumn("label", F.col("node")) if known is None else nodes.join(known, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
+    label = saved(nodes.withColumn("label", F.col("node")) if known is None else nodes.join(known, "node", "full").select("node", F.coalesce("label", "node").alias("label")))
     left = saved(contracted(edges, label) if known is not None else edges.where("a != b").distinct())
     while left.limit(1).count():
         both = left.union(left.select(F.col("b"), F.col("a")))

@@ -22,7 +22,10 @@ seldom among them.
 
 In each finer key the smallest id meets the others of other components.  Keys
 that have several components even then are compared whole: each pair of texts
-of different components meets once, whichever of them has the smallest id.
+of different components meets once, whichever of them has the smallest id, if
+the parities of their labelled words in ``BITS`` slots allow it.  Every slot
+that differs holds a word that only one of them has, so the words they can match
+are bounded exactly, and no near pair is lost.
 
 Most pairs of a shared sketch that are not near end at a signature of ``SLOTS`` bytes a text: its words, labelled
 by occurrence, fall into slots, and each slot keeps a byte of its smallest hash.
@@ -58,6 +61,7 @@ from .common import doc_rows, dropped, joined, pieces, saved
 from .graphs import components
 
 WORDS, PICKS, SKETCHES, SIMILARITY, SPOKES, SLOTS = 5, 3, 48, 0.8, 256, 64
+BITS = 4096
 COUNTS, RAREST = 1 << 18, 16  # counters of words: those that share one have one place in the order, which any order allows
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _ROWS = np.arange(SKETCHES)
@@ -269,15 +273,31 @@ def starry(rows: DataFrame) -> DataFrame:
     return met.select(F.least("rep", "x.rep").alias("a"), F.greatest("rep", "x.rep").alias("b")).distinct()
 
 
-def crossed(rows: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of members of other components whose lengths allow the threshold.
+def parity(h: np.ndarray) -> np.ndarray:
+    """Of labelled words: whether each of ``BITS`` slots has an odd number of them, 64 slots a number."""
+    odd = np.bincount((h % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _parity_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    words = WordHash()
+    for b in pieces(batches, "value"):
+        bits = [parity(shingles(word_hashes(t, words), 1)) for t in b.column("value").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(bits, pa.list_(pa.int64()))], ["rep", "bits"])
+
+
+def crossed(rows: DataFrame, bits: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of members of other components whose lengths and parities (the saved ``bits`` of a rep) allow the threshold.
 
     A pair that has one of its ``rarest`` keys in common meets at the first of those only.
     """
-    y = rows.select("k", F.col("rep").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("rarest").alias("ra"))
+    rows = joined(rows, bits, "rep", "inner")
+    y = rows.select("k", F.col("rep").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("rarest").alias("ra"), F.col("bits").alias("ba"))
     both = F.array_intersect("rarest", "ra")
     met = y.join(rows, "k").where("a < rep AND c != ca").where(F.least("n", "na") >= SIMILARITY * F.greatest("n", "na"))
     met = met.where((F.size(both) == 0) | (F.array_min(both) == F.col("k")))
+    apart = F.aggregate(F.zip_with("bits", "ba", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    met = met.where(apart <= F.col("n") + F.col("na") - 2 * F.ceil(SIMILARITY * F.greatest("n", "na") - 1e-9))  # as ``needed``
     return met.select("a", F.col("rep").alias("b")).distinct()
 
 
@@ -356,14 +376,15 @@ def near_pairs(reps: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]
     ids = saved(left.select("id").distinct())
     values = saved(picked(texts, ids))
     rows = saved(unsettled(prefixes(values).join(left.withColumnRenamed("id", "rep"), "rep")))
-    met = pairs
-    for pick in (starry, crossed):
-        pairs = saved(pick(rows).join(met, ["a", "b"], "left_anti"))
-        near, met = near.union(verified(pairs, values)), met.union(pairs)
-        label = components(near, label)
-        if pick is starry:
-            old, rows = rows, saved(unsettled(labelled(rows, label)))
-            dropped(old)
+    stars = saved(starry(rows).join(pairs, ["a", "b"], "left_anti"))
+    new = verified(stars, values)
+    near, label = near.union(new), components(new, label)
+    old, rows = rows, saved(unsettled(labelled(rows, label)))
+    bits = saved(values.mapInArrow(_parity_rows, "rep long, bits array<long>"))
+    rest = saved(crossed(rows, bits).join(pairs.union(stars), ["a", "b"], "left_anti"))
+    new = verified(rest, values)
+    near, label = near.union(new), components(new, label)
+    dropped(old, bits)
     dropped(rows, left, ids, values)
     return near, label
 

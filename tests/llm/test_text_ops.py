@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from runnel.llm import near_dedup, quality_rules, suffix_dedup, syncmers, toxicity, weak_quality
 from runnel.llm.common import read, saved
+from runnel.llm.graphs import components
 from runnel.llm.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -102,6 +103,43 @@ def test_near_dedup_families_whose_base_has_a_middle_id(spark):
     assert sum(got[d] == label[d] for d in got) >= 0.95 * len(rows)  # each is linked to the base alone, with recall 0.96
 
 
+def test_near_dedup_texts_beside_a_family_end_before_they_are_pairs(spark):
+    """Before: each text that is just not near a family was a pair with most of its members, moved and aligned."""
+    r, made = random.Random(9), []
+    base = words(r, 200, 10**6)
+    rows = [(0, " ".join(base))]
+    for changed in [21] * 80 + [60] * 60:  # near the base (0.895); not near it (0.7), nor near those that are
+        v = list(base)
+        for i in r.sample(range(200), changed):
+            v[i] = f"n{r.randrange(12)}"  # commoner than the words of the base
+        rows.append((len(rows), " ".join(v)))
+    real, near_dedup.starred = near_dedup.starred, lambda pairs, values: made.append(pairs.count()) or real(pairs, values)
+    try:
+        got = {x.doc_id: x.class_id for x in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    finally:
+        near_dedup.starred = real
+    assert sum(got[d] == 0 for d in range(81)) >= 77 and all(got[d] == d for d in range(81, 141))
+    assert made[-1] < 20  # before: 77
+
+
+def test_near_dedup_parities_never_end_a_near_pair():
+    t, r = near_dedup.WordHash(), random.Random(8)
+    for n in (1, 5, 40, 200, 3000, 9000):
+        a = words(r, n, 10 * n)
+        b = [x if r.random() < 0.81 else f"n{r.random()}" for x in a]
+        x, y = (near_dedup.shingles(near_dedup.word_hashes(" ".join(w), t), 1) for w in (a, b))
+        apart = sum(int(v).bit_count() for v in (near_dedup.parity(x) ^ near_dedup.parity(y)).view(np.uint64))
+        assert apart <= 2 * n - 2 * len(np.intersect1d(x, y))
+    assert near_dedup.parity(x[:0]).tolist() == [0] * 64
+
+
+def test_components_of_new_edges_keep_what_is_known(spark):
+    pairs = lambda rows, names: spark.createDataFrame(rows, names)
+    known = components(pairs([(1, 5), (5, 7), (3, 4)], "a long, b long"))
+    got = {x.node: x.label for x in components(pairs([(4, 7), (8, 9)], "a long, b long"), known).collect()}
+    assert got == {1: 1, 3: 1, 4: 1, 5: 1, 7: 1, 8: 8, 9: 8}
+
+
 def test_near_dedup_pairs_of_a_common_passage_grow_with_the_texts(spark):
     """Before: 148,176 pairs went to signatures and alignment, as texts of the passage met one by one."""
     r = random.Random(5)
