@@ -329,19 +329,23 @@ def word_counts(texts: DataFrame) -> np.ndarray:
     return counts
 
 
-def prefixes(texts: DataFrame) -> DataFrame:
-    """Rows (k, rep, rarest) of the prefix filter over saved ``texts`` (id, value): any two near ones share a ``k``; ``rarest`` are the first ``RAREST`` of a text."""
+def prefixes(texts: DataFrame, of: DataFrame) -> DataFrame:
+    """Rows (k, rep, rarest, n, c) of the prefix filter over saved ``texts`` (id, value), with n and c of the saved ``of`` (id, n, c).
+
+    Any two near ones share a ``k``; ``rarest`` are the first ``RAREST`` of a text.  Words that occur once among the texts are no keys.
+    """
     counts = word_counts(texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHash()
         for b in pieces(batches, "value"):
             keys = [rare_first(shingles(word_hashes(t, words), 1), counts) for t in b.column("value").to_pylist()]
+            keys = [k[counts[(k % np.uint64(COUNTS)).astype(np.int64)] > 1] for k in keys]
             at = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
             rarest = pa.array([k[:RAREST].view(np.int64) for k in keys], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), b.column("id").take(at), rarest.take(at)], ["k", "rep", "rarest"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *[x.take(at) for x in (b.column("id"), rarest, b.column("n"), b.column("c"))]], ["k", "rep", "rarest", "n", "c"])
 
-    return texts.mapInArrow(run, "k long, rep long, rarest array<long>")
+    return joined(texts, of, "id", "inner").mapInArrow(run, "k long, rep long, rarest array<long>, n long, c long")
 
 
 def picked(texts: DataFrame, ids: DataFrame) -> DataFrame:
@@ -375,7 +379,7 @@ def near_pairs(reps: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]
     dropped(rows, likely)
     ids = saved(left.select("id").distinct())
     values = saved(picked(texts, ids))
-    rows = saved(unsettled(prefixes(values).join(left.withColumnRenamed("id", "rep"), "rep")))
+    rows = saved(unsettled(prefixes(values, left)))
     stars = saved(starry(rows).join(pairs, ["a", "b"], "left_anti"))
     new = verified(stars, values)
     near, label = near.union(new), components(new, label)
