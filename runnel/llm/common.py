@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH = 4 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
@@ -74,7 +77,12 @@ def joined(left: DataFrame, right: DataFrame, on, how: str = "left", limit: int
 
 
 def doc_rows(docs: DataFrame) -> DataFrame:
-    """``doc_id`` (long) and ``text`` (null: empty) only, so no other column clashes."""
+    """``doc_id`` (long) and ``text`` (null: empty) only, so no other column clashes.
+
+    From now on the session sends at most ``BATCH`` bytes to Python at once: by Spark's
+    default, batches of 64 MB stand in the executor and in its workers.
+    """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 

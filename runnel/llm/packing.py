@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import doc_rows, pieces, saved
-from .token_files import encoder
+from .token_files import Lengths, encoder
 
 BUCKETS, BUDGET, SALTS = 8, 1 << 16, 512
 
@@ -73,9 +73,9 @@ def token_lengths(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Per row: doc_id, n_tokens (ids of the whole text and the end id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, Lengths)
         for b in pieces(batches, "text"):
-            n = [len(x) for x in enc.encode(b.column("text").to_pylist())]
+            n = enc.lengths(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
 
     return doc_rows(docs).mapInArrow(run, "doc_id long, n_tokens long")

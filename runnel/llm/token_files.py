@@ -165,33 +165,61 @@ class Encoder:
                 raise ValueError("a token spans two words")
             data, at = ids.astype(self.kind).tobytes(), 0
             for w, c in zip(part, ((cuts + 1) * int(self.kind[2])).tolist(), strict=True):
-                self.rest[w] = data[at:c]
+                self.rest[w] = self._kept(data[at:c])
                 at = c
 
     def _plain(self, t: str) -> bool:
         """True if every space stands between two characters that are no white space."""
         return t[:1] != " " and t[-1:] != " " and not ("  " in t or "\n " in t or " \n" in t or self._OTHER.search(t))
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def _kept(self, ids: bytes) -> bytes | int:
+        """What is looked up of a word's ids."""
+        return ids
+
+    def _words(self, texts: list[str]) -> list[list[str]]:
+        """The texts cut into words, all of them known."""
         cut = [t.split(" ") if self._plain(t) else self._CUT.split(t) for t in texts]
         new = set().union(*[c[1:] for c in cut]).difference(self.rest)
         if new:
             self._learn(list(new))
         new = {c[0] for c in cut}.difference(self.head)
         for w, e in zip(new, self.tok.encode_batch_fast(list(new), add_special_tokens=False), strict=True):
-            self.head[w] = np.array(e.ids, self.kind).tobytes()
-        get, end = self.rest.__getitem__, np.array([END], self.kind).tobytes()
-        out = [np.frombuffer(b"".join([self.head[c[0]], *map(get, c[1:]), end]), self.kind).astype(np.uint32) for c in cut]
+            self.head[w] = self._kept(np.array(e.ids, self.kind).tobytes())
+        return cut
+
+    def _forget(self) -> None:
         for held in (self.rest, self.head):
             while len(held) > self.LIMIT:
                 held.popitem()  # the last learned
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        cut = self._words(texts)
+        get, end = self.rest.__getitem__, np.array([END], self.kind).tobytes()
+        out = [np.frombuffer(b"".join([self.head[c[0]], *map(get, c[1:]), end]), self.kind).astype(np.uint32) for c in cut]
+        self._forget()
+        return out
+
+
+class Lengths(Encoder):
+    """Keeps the number of a word's ids only, of fewer words: it shares its worker's memory with what stages before it left."""
+
+    LIMIT = 500_000
+
+    def _kept(self, ids: bytes) -> bytes | int:
+        return len(ids) // int(self.kind[2])
+
+    def lengths(self, texts: list[str]) -> list[int]:
+        """Ids of each text with the end id."""
+        cut = self._words(texts)
+        out = [self.head[c[0]] + sum(map(self.rest.__getitem__, c[1:])) + 1 for c in cut]
+        self._forget()
         return out
 
 
 @functools.lru_cache(maxsize=1)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, kind: type[Encoder] = Encoder) -> Encoder:
     """One for all tasks of a worker process, so that its words stay known."""
-    return Encoder(path)
+    return kind(path)
 
 
 def _open(uri: str):

@@ -6,12 +6,14 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from runnel.llm import lattice, packing, token_files, wrappers
+from runnel.llm.common import doc_rows
 from runnel.llm.queries import QUERIES, tokenizer_path
 
 TEXTS = ["", None, " a  b\n\n c ", "\n", "   ", "naïve 日本語 𝔘 ░ a\x00b", "a" * 34, "x" * 500 + " " + "ab" * 100, "tab\there  \n  x", " " * 20 + "end", "the same", "the same", "It's 1,000.50 & more: don't!", "w " * 30_000]
@@ -73,6 +75,15 @@ def test_lengths(spark, docs):
     assert a == b
 
 
+def test_lengths_keep_numbers_only():
+    kept, enc = token_files.Lengths(tokenizer_path()), token_files.Encoder(tokenizer_path())
+    texts = [t or "" for t in TEXTS]
+    for limit in (500_000, 2):  # what is forgotten is encoded again
+        kept.LIMIT = limit
+        assert kept.lengths(texts) == kept.lengths(texts) == [len(x) for x in enc.encode(texts)]
+    assert len(kept.rest) == 2 and all(isinstance(x, int) for x in kept.rest.values())
+
+
 def test_sentencepiece(spark, docs):
     import sentencepiece
 
@@ -186,3 +197,13 @@ def test_alignment_and_its_bound():
     pages = [f"<body><div class=c{chr(97 + i % 26)}{chr(97 + i // 26)}><p>t{i}</p></div></body>" for i in range(200)]
     got, e = texts(*pages)
     assert got == [f"t{i}" for i in range(200)] and e.count("<div") <= wrappers.MOST + 1
+
+
+def test_python_gets_texts_in_small_batches(spark):
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["rows", "bytes"])
+
+    docs = spark.range(0, 4000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 5000).alias("text"))
+    got = doc_rows(docs).mapInArrow(run, "rows long, bytes long").toPandas()
+    assert got["rows"].sum() == 4000 and got["bytes"].max() < 5_000_000  # before: one batch of 20 MB
