@@ -20,6 +20,11 @@ common among the first n - ceil(``SIMILARITY`` n) + 1 of each, so each of these
 words is a finer key.  A passage that many texts have is common by itself and
 seldom among them.
 
+Of two texts, no word before the first common one, in that order, matches, so what
+is left from its place on bounds their match.  A text with ``room`` words from a
+key on can be near, through that key, texts of its own to room / ``SIMILARITY``
+words, and two texts meet there only if these spans overlap.
+
 In each finer key the smallest id meets the others of other components.  Keys
 that have several components even then are compared whole: each pair of texts
 of different components meets once, whichever of them has the smallest id, if
@@ -62,7 +67,7 @@ from .graphs import components
 
 WORDS, PICKS, SKETCHES, SIMILARITY, SPOKES, SLOTS = 5, 3, 48, 0.8, 256, 64
 BITS = 4096
-COUNTS, RAREST = 1 << 18, 16  # counters of words: those that share one have one place in the order, which any order allows
+COUNTS, RAREST = 1 << 20, 16  # counters of words: those that share one have one place in the order, which any order allows
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _ROWS = np.arange(SKETCHES)
 _SEEDS = (np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))[:, None]
@@ -249,27 +254,28 @@ def _sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def shared_keys(rows: DataFrame) -> DataFrame:
     """The rows (k, rep, n) whose key several texts have."""
-    shared = rows.groupBy("k").agg(F.min("rep").alias("low"), F.max("rep").alias("top")).where("low < top").select("k")
+    shared = rows.groupBy("k").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("k")
     return rows.join(shared, "k").select("k", "rep", "n")
 
 
 def members(reps: DataFrame) -> DataFrame:
-    """Rows (k, rep, n) of the sketches that several texts share, from rows (rep, n, keys)."""
+    """Rows (k, rep, n, top) of the sketches that several texts share, from rows (rep, n, keys); ``top`` is the length of the longest text that can be near."""
     # Classes of length a factor 1.5 wide; odd sketches have them half a class off, so near lengths meet somewhere.
     log = F.log(F.col("n").cast("double")) / F.log(F.lit(1.5))
     keys = F.transform("keys", lambda k, t: F.xxhash64(k, t, F.floor(log + F.when(t % 2 == 1, 0.5).otherwise(0.0))))
-    return shared_keys(reps.where("keys IS NOT NULL").select(F.explode(keys).alias("k"), "rep", "n"))
+    shared = shared_keys(reps.where("keys IS NOT NULL").select(F.explode(keys).alias("k"), "rep", "n"))
+    return shared.withColumn("top", F.floor(F.col("n") / SIMILARITY + 1e-9))
 
 
 def unsettled(rest: DataFrame) -> DataFrame:
-    """The rows of the keys with several components ``c``, with the key's centre ``x``: its smallest id."""
-    keys = rest.groupBy("k").agg(F.min(F.struct("rep", "c", "n")).alias("x"), F.min("c").alias("low"), F.max("c").alias("top"))
-    return rest.join(keys.where("low < top"), "k").drop("low", "top")
+    """The rows of the keys with several components ``c``, with the key's centre ``x``: its smallest id.  Reads ``rest`` twice."""
+    keys = rest.groupBy("k").agg(F.min(F.struct("rep", "c", "n", "top")).alias("x"), F.min("c").alias("low"), F.max("c").alias("high"))
+    return rest.join(keys.where("low < high"), "k").drop("low", "high")
 
 
 def starry(rows: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of each key's centre and its members of other components whose lengths allow the threshold."""
-    met = rows.where("c != x.c").where(F.least("n", "x.n") >= SIMILARITY * F.greatest("n", "x.n"))
+    """Distinct pairs (a, b), a < b, of each key's centre and its members of other components whose spans n to top overlap."""
+    met = rows.where("c != x.c").where(F.greatest("n", "x.n") <= F.least("top", "x.top"))
     return met.select(F.least("rep", "x.rep").alias("a"), F.greatest("rep", "x.rep").alias("b")).distinct()
 
 
@@ -286,16 +292,15 @@ def _parity_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(bits, pa.list_(pa.int64()))], ["rep", "bits"])
 
 
-def crossed(rows: DataFrame, bits: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of members of other components whose lengths and parities (the saved ``bits`` of a rep) allow the threshold.
+def crossed(rows: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of members of other components whose spans n to top and parities (``bits``) allow the threshold.
 
-    A pair that has one of its ``rarest`` keys in common meets at the first of those only.
+    A pair that has some of its ``rarest`` keys in common meets at the first of those only, the one from which the spans count.
     """
-    rows = joined(rows, bits, "rep", "inner")
-    y = rows.select("k", F.col("rep").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("rarest").alias("ra"), F.col("bits").alias("ba"))
-    both = F.array_intersect("rarest", "ra")
-    met = y.join(rows, "k").where("a < rep AND c != ca").where(F.least("n", "na") >= SIMILARITY * F.greatest("n", "na"))
-    met = met.where((F.size(both) == 0) | (F.array_min(both) == F.col("k")))
+    y = rows.select("k", F.col("rep").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("top").alias("ta"), F.col("rarest").alias("ra"), F.col("bits").alias("ba"))
+    both = F.array_intersect("rarest", "ra")  # in the order of ``rarest``
+    met = y.join(rows, "k").where("a < rep AND c != ca").where(F.greatest("n", "na") <= F.least("top", "ta"))
+    met = met.where((F.size(both) == 0) | (F.get(both, F.lit(0)) == F.col("k")))
     apart = F.aggregate(F.zip_with("bits", "ba", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
     met = met.where(apart <= F.col("n") + F.col("na") - 2 * F.ceil(SIMILARITY * F.greatest("n", "na") - 1e-9))  # as ``needed``
     return met.select("a", F.col("rep").alias("b")).distinct()
@@ -306,46 +311,64 @@ def needed(n: int) -> int:
     return math.ceil(SIMILARITY * n - 1e-9)
 
 
+def longest(room: np.ndarray) -> np.ndarray:
+    """Words of the longest text of which ``room`` words are enough."""
+    return np.floor(room / SIMILARITY + 1e-9).astype(np.int64)
+
+
 def rare_first(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The rarest labelled words of a text, one of which every near text has among its own."""
     order = np.lexsort((h, counts[(h % np.uint64(len(counts))).astype(np.int64)]))
     return h[order[: len(h) - needed(len(h)) + 1]]
 
 
-def word_counts(texts: DataFrame) -> np.ndarray:
-    """How often labelled words occur in ``texts`` (value), in ``COUNTS`` counters: bounded, whatever the corpus."""
+def word_counts(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """How often labelled words occur in ``texts`` (value, c), and whether in several components, in ``COUNTS`` counters: bounded, whatever the corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, counts = WordHash(), np.zeros(COUNTS, np.int64)
+        low, high = np.full(COUNTS, np.iinfo(np.int64).max), np.full(COUNTS, np.iinfo(np.int64).min)
         for b in pieces(batches, "value"):
-            for t in b.column("value").to_pylist():
-                np.add.at(counts, (shingles(word_hashes(t, words), 1) % np.uint64(COUNTS)).astype(np.int64), 1)
+            for t, c in zip(b.column("value").to_pylist(), b.column("c").to_pylist(), strict=True):
+                at = (shingles(word_hashes(t, words), 1) % np.uint64(COUNTS)).astype(np.int64)
+                np.add.at(counts, at, 1)
+                low[at], high[at] = np.minimum(low[at], c), np.maximum(high[at], c)
         at = np.nonzero(counts)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["at", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at, counts[at], low[at], high[at])], ["at", "n", "low", "high"])
 
-    found = texts.select("value").mapInArrow(run, "at long, n long").groupBy("at").agg(F.least(F.sum("n"), F.lit((1 << 31) - 1)).cast("int").alias("n")).toArrow()
-    counts = np.zeros(COUNTS, np.int32)
-    counts[found.column("at").to_numpy()] = found.column("n").to_numpy()
-    return counts
+    total = texts.select("value", "c").mapInArrow(run, "at long, n long, low long, high long").groupBy("at")
+    total = total.agg(F.least(F.sum("n"), F.lit((1 << 31) - 1)).cast("int").alias("n"), (F.min("low") < F.max("high")).alias("mixed")).toArrow()
+    counts, mixed = np.zeros(COUNTS, np.int32), np.zeros(COUNTS, bool)
+    at = total.column("at").to_numpy()
+    counts[at], mixed[at] = total.column("n").to_numpy(), total.column("mixed").to_numpy()
+    return counts, mixed
 
 
-def prefixes(texts: DataFrame, of: DataFrame) -> DataFrame:
-    """Rows (k, rep, rarest, n, c) of the prefix filter over saved ``texts`` (id, value), with n and c of the saved ``of`` (id, n, c).
+def prefixes(texts: DataFrame) -> DataFrame:
+    """Rows (k, rep, rarest, n, top, c) of the prefix filter over ``texts`` (id, value, c).
 
-    Any two near ones share a ``k``; ``rarest`` are the first ``RAREST`` of a text.  Words that occur once among the texts are no keys.
+    Any two near ones of different components share a ``k`` where their spans from n, their words, to top overlap; ``rarest`` are
+    the first ``RAREST`` of a text, in order.  Words that only one component has are no keys.
     """
-    counts = word_counts(texts)
+    counts, mixed = word_counts(texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHash()
         for b in pieces(batches, "value"):
-            keys = [rare_first(shingles(word_hashes(t, words), 1), counts) for t in b.column("value").to_pylist()]
-            keys = [k[counts[(k % np.uint64(COUNTS)).astype(np.int64)] > 1] for k in keys]
+            keys, n, tops = [], [], []
+            for t in b.column("value").to_pylist():
+                h = shingles(word_hashes(t, words), 1)
+                k = rare_first(h, counts)
+                places = np.nonzero(mixed[(k % np.uint64(COUNTS)).astype(np.int64)])[0]
+                keys.append(k[places].view(np.int64))
+                n.append(len(h))
+                tops.append(longest(len(h) - places))
             at = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
-            rarest = pa.array([k[:RAREST].view(np.int64) for k in keys], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *[x.take(at) for x in (b.column("id"), rarest, b.column("n"), b.column("c"))]], ["k", "rep", "rarest", "n", "c"])
+            rarest = pa.array([k[:RAREST] for k in keys], pa.list_(pa.int64()))
+            rep, rarest, n, c = (x.take(at) for x in (b.column("id"), rarest, pa.array(n, pa.int64()), b.column("c")))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), rep, rarest, n, pa.array(np.concatenate(tops)), c], ["k", "rep", "rarest", "n", "top", "c"])
 
-    return joined(texts, of, "id", "inner").mapInArrow(run, "k long, rep long, rarest array<long>, n long, c long")
+    return texts.mapInArrow(run, "k long, rep long, rarest array<long>, n long, top long, c long")
 
 
 def picked(texts: DataFrame, ids: DataFrame) -> DataFrame:
@@ -363,7 +386,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
     """The rows that were no centre of their key, with their components now."""
-    left = rows.where("NOT (rep = x.rep AND n = x.n)").drop("c", "x").join(label.withColumnRenamed("node", "rep"), "rep", "left")
+    left = rows.where("NOT (rep = x.rep AND n = x.n AND top = x.top)").drop("c", "x").join(label.withColumnRenamed("node", "rep"), "rep", "left")
     return left.withColumn("c", F.coalesce("label", "rep")).drop("label")
 
 
@@ -374,22 +397,28 @@ def near_pairs(reps: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]
     likely = saved(starred(pairs, reps.select(F.col("rep").alias("id"), F.col("sig").alias("value"))).mapInArrow(_sieve, "a long, b long"))
     near = verified(likely, texts)
     label = components(near)
-    # Sketches with several components: by finer keys.
-    left = saved(unsettled(labelled(rows, label)).select(F.col("rep").alias("id"), "n", "c").distinct())
-    dropped(rows, likely)
+    # Sketches with several components: by finer keys.  What is read twice is saved first.
+    moved = saved(labelled(rows, label))
+    left = saved(unsettled(moved).select(F.col("rep").alias("id"), "c").distinct())
+    dropped(rows, moved, likely)
     ids = saved(left.select("id").distinct())
     values = saved(picked(texts, ids))
-    rows = saved(unsettled(prefixes(values, left)))
+    found = saved(prefixes(joined(values, left, "id", "inner")))
+    rows = saved(unsettled(found))
+    dropped(left, ids, found)
     stars = saved(starry(rows).join(pairs, ["a", "b"], "left_anti"))
     new = verified(stars, values)
     near, label = near.union(new), components(new, label)
-    old, rows = rows, saved(unsettled(labelled(rows, label)))
+    moved = saved(labelled(rows, label))
+    dropped(rows)
+    rows = saved(unsettled(moved))
     bits = saved(values.mapInArrow(_parity_rows, "rep long, bits array<long>"))
-    rest = saved(crossed(rows, bits).join(pairs.union(stars), ["a", "b"], "left_anti"))
+    whole = saved(joined(rows, bits, "rep", "inner"))
+    rest = saved(crossed(whole).join(pairs.union(stars), ["a", "b"], "left_anti"))
+    dropped(moved, rows, bits, whole)
     new = verified(rest, values)
     near, label = near.union(new), components(new, label)
-    dropped(old, bits)
-    dropped(rows, left, ids, values)
+    dropped(values)
     return near, label
 
 
